@@ -81,7 +81,7 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, left: np.ndarray, capacity
     return pattern
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300, step: float = 0.2, eta: float = 3.0) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300, step: float = 0.2, eta: float = 0.1, power: float = 1.3) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: times}, sequences) that hold the histogram exactly."""
     out: list[tuple[dict[int, int], int]] = []
     if histogram.get(capacity):
@@ -95,7 +95,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300
         alive = np.flatnonzero(left)
         if left.sum() < 4 * len(lengths):
             break
-        price = lengths[alive] / capacity * np.exp(eta * (left[alive] / total[alive] - 1.0)) ** 0.2
+        price = (lengths[alive] / capacity) ** power * np.exp(eta * (left[alive] / total[alive] - 1.0))
         pattern = _knapsack(lengths[alive], price, left[alive], capacity)
         if not pattern:
             break
