@@ -137,7 +137,8 @@ class Dataset:
 
     # -- samples -------------------------------------------------------------
     def write(self, samples: DataFrame, on_conflict: str = "append") -> None:
-        """samples(measure_id, device_id, time_n, value[, write_seq]).
+        """samples(measure_id, device_id, time_n, value[, write_seq]); ``write_seq`` orders
+        the rows of this write, all of which come after what is stored.
 
         ``append`` keeps all samples (scans can dedup), ``last`` and ``first`` rewrite the
         (measure, day) partitions they touch so that one sample of each time stays, and
@@ -146,7 +147,7 @@ class Dataset:
         if "write_seq" not in samples.columns:
             samples = samples.withColumn("write_seq", F.lit(None).cast("long"))
         newest = self.table("samples").agg(F.max("write_seq")).first()[0] if self.exists("samples") else None
-        fresh = samples.select("measure_id", "device_id", "time_n", F.col("value").cast("double").alias("value"), F.coalesce("write_seq", F.lit((newest or 0) + 1)).alias("write_seq"), units.floor_div(F.col("time_n"), DAY_NS).alias("day"))
+        fresh = samples.select("measure_id", "device_id", "time_n", F.col("value").cast("double").alias("value"), (F.coalesce("write_seq", F.lit(0)) + ((newest or 0) + 1)).alias("write_seq"), units.floor_div(F.col("time_n"), DAY_NS).alias("day"))
         if on_conflict == "append":
             self._save(fresh, "append")
             return
