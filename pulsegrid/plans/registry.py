@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import gaps, units, values
 from ..operators import aggregates, joins, labels, scan, windows
 from ..operators import intervals as iv
-from ..sources import files
+from ..sources import blocks, files
 from ..sources.events import EPOCH_N, HOUR_NS, NOW_N, Canonical
 from . import definition as df_
 from . import splits
@@ -616,6 +616,46 @@ def device_info(c):
     return c.devices.join(c.table("nation").select(F.col("n_nationkey").cast("long").alias("bed_id"), F.col("n_name").alias("bed")), "bed_id")
 
 
+_BLOCKS = f"b as (select *, least((row_number() over (partition by measure_id, device_id, chunk order by time_n) - 1) // 4, greatest(1, count(*) over (partition by measure_id, device_id, chunk) // 4) - 1)::bigint as block from (select *, (time_n // {30 * DAY_NS})::bigint as chunk from samples))"
+
+
+@query(_with("samples", f"+ {_BLOCKS} select measure_id, device_id, chunk, block, min(time_n) as start_n, max(time_n) as end_n, count(*) as num_vals, min(value) as v_min, max(value) as v_max from b group by 1, 2, 3, 4"))
+def block_encode(c):
+    return blocks.encode(c.samples, KEYS, 4).drop("times", "values")
+
+
+@query(_with("samples", "select measure_id, device_id, time_n, value from samples"))
+def block_round_trip(c):
+    return blocks.decode(blocks.encode(c.samples, KEYS, 4), KEYS)
+
+
+@query(_with("samples", f"+ {_BLOCKS}, h as (select measure_id, device_id, min(time_n) as start_n, max(time_n) as end_n, count(*) > 4 as long from b group by 1, 2, chunk, block), o as (select *, case when lag(long) over w is distinct from long or row_number() over w = 1 then 1 else 0 end as o from h window w as (partition by measure_id, device_id order by start_n, end_n)), g as (select *, sum(o) over (partition by measure_id, device_id order by start_n, end_n rows unbounded preceding) as g from o) select measure_id, device_id, long, min(start_n) as start_n, max(end_n) as end_n, count(*) as n_blocks from g group by 1, 2, 3, g"))
+def block_header_groups(c):
+    h = blocks.encode(c.samples, KEYS, 4).select(*KEYS, "start_n", "end_n", (F.col("num_vals") > 4).alias("long"))
+    return blocks.header_groups(h, KEYS, ["long"])
+
+
+@query(_with("samples", "select measure_id, tag, count(*) as n_rows from samples where tag like '%r%' group by 1, 2"))
+def measure_search(c):
+    found = c.measures.where(F.col("tag").contains("r") & (F.col("freq_nhz") == 277777))
+    return aggregates.best_measures(c.samples, found).select("measure_id", "tag", "n_rows")
+
+
+@query(_with("samples mapping", f"+ c as (select device_id, min(time_n) as s from samples group by 1) select m.patient_id, count(*) as n_devices, min(greatest(m.start_n, c.s)) as first_n from mapping m join c using (device_id) where coalesce(m.end_n, {NOW_N}) > c.s group by 1"))
+def patient_devices(c):
+    first = c.samples.groupBy("device_id").agg(F.min("time_n").alias("s"))
+    m = c.mapping.join(first, "device_id").where(joins.closed_end(F.col("end_n"), NOW_N) > F.col("s"))
+    return m.groupBy("patient_id").agg(F.count("*").alias("n_devices"), F.min(F.greatest("start_n", "s")).alias("first_n"))
+
+
+@query("select p.o_custkey as patient_id, count(distinct l_returnflag) as n_fields, min(l_shipdate) as first_seen from lineitem join orders p on l_orderkey = o_orderkey where l_shipdate between timestamp '1995-01-01' and timestamp '1996-01-01' group by 1")
+def history_range(c):
+    low, high = 788_918_400_000_000_000, 820_454_400_000_000_000
+    h = c.history.where(F.col("time_n").between(low, high))
+    out = h.groupBy("patient_id").agg(F.count_distinct("field").alias("n_fields"), F.min("time_n").alias("t"))
+    return out.select("patient_id", "n_fields", F.timestamp_micros(units.floor_div(F.col("t"), 1000)).cast("timestamp_ntz").alias("first_seen"))
+
+
 # -- streaming, in its batch form -------------------------------------------
 @query(_with("samples", f"select device_id, measure_id, (time_n // {6 * HOUR_NS} * {6 * HOUR_NS} // 1000)::bigint as start_us, ((time_n // {6 * HOUR_NS} + 1) * {6 * HOUR_NS} // 1000)::bigint as end_us, count(*) as n, round(avg(value), 6) as mean from samples group by 1, 2, 3, 4"))
 def stream_windows(c):
