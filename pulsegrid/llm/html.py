@@ -31,11 +31,12 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "body", "html", "caption", "dd", "dt", "legend", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 #: Words of class, id and role values that mark elements outside the article.
 BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:igation|bar)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side|rail|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|tags?|skip|complementary|contentinfo|banner|dialog|form)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adbox|adslot|adunit|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:igation|bar)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side|rail|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|tags?|skip|complementary|contentinfo|dialog|form|topbar|bottombar|disclaimer)(?:$|[\s_-]|\d)",
     re.I,
 )
 ROOTS = frozenset(["article", "main"])
 _SPACE = re.compile(r"\s+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
@@ -82,7 +83,7 @@ class Events(HTMLParser):
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
             for name in same:
                 self._close(name, stop=frozenset(["ul", "ol", "dl", "table", "select", "menu", *(["tr"] if tag in ("td", "th") else [])]))
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        named = _CAMEL.sub("-", " ".join(v for k, v in attrs if v and k in ("class", "id", "role")))
         keys = {k for k, _ in attrs}
         hidden = tag in HIDDEN or "hidden" in keys or any(k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         is_root = tag in ROOTS or any(k == "role" and v == "main" for k, v in attrs)
