@@ -47,33 +47,38 @@ class CoverTree:
         centres, owner, dist = np.zeros(1, dtype=np.int64), np.zeros(n, dtype=np.int64), self._distance(np.arange(n), np.zeros(1, dtype=np.int64))[:, 0] if n else np.zeros(0)
         self.levels.append((centres, np.zeros(1, dtype=np.int64), np.array([dist.max() if n else 0.0])))
         radius = dist.max() if n else 0.0
+        cover = np.array([radius])
         while radius > stop and len(centres) < n:
             radius /= 2
-            new, new_parent, new_owner, new_dist = [], [], np.full(n, -1), np.full(n, np.inf)
+            split, whole = np.flatnonzero(cover > radius), np.flatnonzero(cover <= radius)
+            if not len(split):
+                continue  # the level would repeat the one before
+            # nodes that the radius covers already stay as they are
+            place = np.full(len(centres), -1)
+            place[whole] = np.arange(len(whole))
+            new, new_parent = centres[whole].tolist(), whole.tolist()
+            new_owner, new_dist = place[owner], dist.copy()
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
-            for k, c in enumerate(centres):
-                left = order[cuts[k] : cuts[k + 1]]
+            for k in split:
+                c, left = centres[k], order[cuts[k] : cuts[k + 1]]
                 left = np.concatenate(([c], left[left != c]))  # nested: the centre stays a centre
                 while len(left):
                     # a handful of centres at once: those of the first candidates that are apart
-                    head = left[: 64]
-                    near = self._distance(head, head) <= radius
+                    near = self._distance(left[:64], left[:64]) <= radius
                     taken: list[int] = []
-                    for i in range(len(head)):
+                    for i in range(len(near)):
                         if not near[i, taken].any():
                             taken.append(i)
-                    chosen = head[taken]
+                    chosen = left[taken]
                     d = self._distance(left, chosen)
                     best = d.argmin(axis=1)
                     value = d[np.arange(len(left)), best]
+                    best[taken], value[taken] = np.arange(len(taken)), 0.0
                     inside = value <= radius
-                    inside[np.isin(left, chosen)] = True
-                    covered = left[inside]
-                    new_owner[covered], new_dist[covered] = len(new) + best[inside], value[inside]
-                    new_owner[chosen], new_dist[chosen] = len(new) + np.arange(len(chosen)), 0.0
+                    new_owner[left[inside]], new_dist[left[inside]] = len(new) + best[inside], value[inside]
                     new += chosen.tolist()
-                    new_parent += [k] * len(chosen)
+                    new_parent += [int(k)] * len(chosen)
                     left = left[~inside]
             centres, owner, dist = np.array(new), new_owner, new_dist
             cover = np.zeros(len(centres))
