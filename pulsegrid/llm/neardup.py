@@ -8,7 +8,8 @@ they are linked if a banded alignment matches at least 0.8 of the longer one's w
 
 Exact copies are one text from the start. Inside the bucket of a sketch each text is
 compared with the bucket's least and greatest member only; members that neither
-explains form a smaller bucket for the next round, until a round finds no link.
+explains, one for each set that is linked already, form a smaller bucket for the
+next round, until a round finds no link.
 So the candidates grow with the bucket, never with its square.
 """
 
@@ -212,14 +213,11 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SH
     usable = rows.where("doc_id is not null and n_words > 0")
     unique = materialise(usable.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nd-unique")
     members = materialise(unique.select(F.col("rep"), "n_words", F.explode("keys").alias("key")), "nd-keys")
-    texts = None
-    links = None
+    texts = links = tried = None
     while True:
         node = F.struct("rep", "n_words")
         leaders = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("n > 1").drop("n"), "nd-leaders")
         bucketed = materialise(members.join(leaders, "key"), "nd-buckets")
-        if bucketed.isEmpty():
-            break
         if texts is None:
             ids = materialise(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "nd-ids")
             chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -228,20 +226,25 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SH
         def pair(end: str) -> DataFrame:
             other = F.col(end)
             fits = F.least(other["n_words"], F.col("n_words")) >= least * F.greatest(other["n_words"], F.col("n_words"))
-            return bucketed.where((F.col("rep") != other["rep"]) & fits).select(other["rep"].alias("x"), F.col("rep").alias("y"))
+            return bucketed.where((F.col("rep") != other["rep"]) & fits).select(F.least(other["rep"], F.col("rep")).alias("a"), F.greatest(other["rep"], F.col("rep")).alias("b"))
 
-        pairs = pair("lo").unionByName(pair("hi")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = materialise(_verified(materialise(pairs, "nd-pairs"), texts, least), "nd-links")
+        pairs = pair("lo").unionByName(pair("hi")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "nd-pairs")
+        found = materialise(_verified(pairs, texts, least), "nd-links")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        groups = materialise(connected_components(links, "a", "b", "nd"), "nd-groups")
-        # members that the bucket's ends do not reach go on to the next round
-        of = lambda c, name: groups.select(F.col("node").alias(c), F.col("component").alias(name))
-        placed = bucketed.select("key", "rep", "n_words", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
-        for c in ("rep", "lo", "hi"):
-            placed = placed.join(of(c, f"c_{c}"), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-        members = materialise(placed.where("c_rep <> c_lo and c_rep <> c_hi").select("rep", "n_words", "key"), "nd-keys")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        # members that neither end of their bucket is linked to go on to the next round
+        rest = bucketed.where("rep <> lo.rep and rep <> hi.rep").select("key", "rep", "n_words", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
+        rest = rest.join(links.select(F.col("a").alias("lo"), F.col("b").alias("rep")), ["lo", "rep"], "left_anti")
+        rest = rest.join(links.select(F.col("a").alias("rep"), F.col("b").alias("hi")), ["rep", "hi"], "left_anti")
+        rest = materialise(rest.select("rep", "n_words", "key"), "nd-rest")
+        # of two members that are linked already (by another bucket) the lesser stands for both
+        known = rest.join(links.select(F.col("b").alias("rep"), "a"), "rep").select("key", "rep", "a")
+        known = known.join(rest.select("key", F.col("rep").alias("a")), ["key", "a"], "left_semi").select("key", "rep").distinct()
+        members = materialise(rest.join(known, ["key", "rep"], "left_anti").select("rep", "n_words", "key"), "nd-keys")
+    groups = None if links is None else connected_components(links, "a", "b", "nd")
     names = unique.select("tid", "rep")
     if links is not None:
         names = names.join(groups, names["rep"] == groups["node"], "left").select("tid", F.coalesce("component", "rep").alias("component_id"))
