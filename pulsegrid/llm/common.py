@@ -42,6 +42,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if any(path.rstrip("/").endswith(w.rpartition("/")[2]) for w in _written):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def _remove_written() -> None:
     try:
         spark = SparkSession.getActiveSession()
