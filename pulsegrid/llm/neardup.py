@@ -168,7 +168,8 @@ def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
 def _sketched(docs: DataFrame, sketches: int, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").cast(pa.int64()), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            raw = batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").cast(pa.int64()), [(t or "").encode("utf-8", "surrogatepass") for t in raw]
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -179,7 +180,7 @@ def _sketched(docs: DataFrame, sketches: int, shingle: int) -> DataFrame:
                 keys, counts = sketch(part, sketches, shingle)
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in part]), pa.array(counts.astype(np.int64)), lists], names=["doc_id", "tid", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array([None if raw[at + k] is None else hashlib.blake2b(t, digest_size=16).digest() for k, t in enumerate(part)], pa.binary()), pa.array(counts.astype(np.int64)), lists], names=["doc_id", "tid", "n_words", "keys"])
                 at = end
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tid binary, n_words long, keys array<long>")
@@ -203,16 +204,16 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SH
     """doc_id, component_id, kept: one row per row of ``docs``.
 
     ``component_id`` is the least doc_id among the copies and near copies that links
-    reach; ``kept`` marks one row of each group. Texts without a word (null, empty,
-    white space) are groups of their own, as are rows without a doc_id, whose
-    component_id is null. Of rows with equal doc_id and text one is kept. Texts below
+    reach; ``kept`` marks one row of each group. Texts without a word (empty, white
+    space) are copies of equal texts only; null texts are groups of their own, as are
+    rows without a doc_id, whose component_id is null. Of rows with equal doc_id and text one is kept. Texts below
     five words are one shingle. Ties take the least doc_id. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = materialise(_sketched(docs, sketches, shingle), "nd-sketches")
-    usable = rows.where("doc_id is not null and n_words > 0")
+    usable = rows.where("doc_id is not null and tid is not null")
     unique = materialise(usable.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nd-unique")
-    members = materialise(unique.select(F.col("rep"), "n_words", F.explode("keys").alias("key")), "nd-keys")
+    members = materialise(unique.where("n_words > 0").select(F.col("rep"), "n_words", F.explode("keys").alias("key")), "nd-keys")
     texts = links = tried = None
     while True:
         node = F.struct("rep", "n_words")
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SH
         names = names.select("tid", F.col("rep").alias("component_id"))
     names = materialise(names, "nd-names")
     grouped = usable.select("doc_id", "tid").join(names, "tid").select("doc_id", "component_id")
-    alone = rows.where("doc_id is null or n_words = 0").select("doc_id", F.col("doc_id").alias("component_id"))
+    alone = rows.where("doc_id is null or tid is null").select("doc_id", F.col("doc_id").alias("component_id"))
     out = grouped.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

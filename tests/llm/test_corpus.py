@@ -214,6 +214,7 @@ def test_near_duplicates_edge_cases(spark, docs):
     assert kept.columns == docs([]).columns
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == {None: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
     assert neardup.near_duplicates(docs([])).count() == 0
+    assert classes(docs([(1, ""), (2, ""), (3, None), (4, None), (5, " ")])) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def test_alignment():
