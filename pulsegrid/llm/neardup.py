@@ -7,10 +7,10 @@ with their edit distance, order included. Texts that share a sketch are candidat
 they are linked if a banded alignment matches at least 0.8 of the longer one's words.
 
 Exact copies are one text from the start. Inside the bucket of a sketch each text is
-compared with the bucket's least and greatest member only; members that neither
-explains, one for each set that is linked already, form a smaller bucket for the
-next round, until a round finds no link.
-So the candidates grow with the bucket, never with its square.
+first compared with the bucket's least and greatest member, which settles most of it.
+Then every pair of a bucket's members that are not in one component by now and were
+not tried is a candidate too, unless counts of hashed words prove it below the
+threshold. Links are not transitive, so no member leaves a bucket before that.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ SIMILARITY = 0.8
 #: Ids of candidate texts are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 400_000
 _CHUNK = 2 << 20
+#: Members of a bucket that meet in one group, and hash bins of the word counts.
+BLOCK = 256
+BINS = 64
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -200,6 +203,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _histograms(texts: DataFrame) -> DataFrame:
+    """rep, histogram: how many words of the text fall to each of ``BINS`` hash bins."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                words, _ = word_hashes([(text or "").encode("utf-8", "surrogatepass")])
+                out.append(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.binary())], names=["rep", "histogram"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, histogram binary")
+
+
+def _untried(opened: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of all members of a bucket in different components that can be similar.
+
+    opened(key, rep, n_words, n, component). A bucket is dealt to blocks of about ``BLOCK``
+    members and each pair of blocks is one group, so no task holds a bucket whole. Two texts match
+    at most as many words as their histograms share, so pairs below the need are no loss.
+    """
+    reps = materialise(opened.select(F.col("rep").alias("doc_id")).distinct(), "nd-reps")
+    histograms = materialise(_histograms(texts.join(reps, "doc_id", "left_semi")), "nd-histograms")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = opened.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_words", "component")
+    cells = materialise(dealt.join(histograms, "rep"), "nd-cells")
+
+    def meet(cell: pa.Table) -> pa.Table:
+        rep, words, component, block = (cell.column(c).to_numpy() for c in ("rep", "n_words", "component", "block"))
+        counts = np.frombuffer(b"".join(cell.column("histogram").to_pylist()), dtype="<i4").reshape(-1, BINS)
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        right = np.flatnonzero(block == j)
+        a, b = [], []
+        for x in np.flatnonzero(block == i):
+            need = np.ceil(least * np.maximum(words[x], words[right]))
+            y = right[(component[right] != component[x]) & (np.minimum(words[x], words[right]) >= need) & ((rep[right] > rep[x]) | (i != j))]
+            if len(y):
+                y = y[np.minimum(counts[x], counts[y]).sum(axis=1) >= np.ceil(least * np.maximum(words[x], words[y]))]
+                a.append(np.minimum(rep[x], rep[y]))
+                b.append(np.maximum(rep[x], rep[y]))
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id, kept: one row per row of ``docs``.
 
@@ -214,38 +264,37 @@ def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SH
     usable = rows.where("doc_id is not null and tid is not null")
     unique = materialise(usable.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nd-unique")
     members = materialise(unique.where("n_words > 0").select(F.col("rep"), "n_words", F.explode("keys").alias("key")), "nd-keys")
-    texts = links = tried = None
-    while True:
-        node = F.struct("rep", "n_words")
-        leaders = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("n > 1").drop("n"), "nd-leaders")
-        bucketed = materialise(members.join(leaders, "key"), "nd-buckets")
-        if texts is None:
-            ids = materialise(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "nd-ids")
-            chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-            texts = materialise(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nd-texts")
-
-        def pair(end: str) -> DataFrame:
-            other = F.col(end)
-            fits = F.least(other["n_words"], F.col("n_words")) >= least * F.greatest(other["n_words"], F.col("n_words"))
-            return bucketed.where((F.col("rep") != other["rep"]) & fits).select(F.least(other["rep"], F.col("rep")).alias("a"), F.greatest(other["rep"], F.col("rep")).alias("b"))
-
-        pairs = pair("lo").unionByName(pair("hi")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "nd-pairs")
-        found = materialise(_verified(pairs, texts, least), "nd-links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # members that neither end of their bucket is linked to go on to the next round
-        rest = bucketed.where("rep <> lo.rep and rep <> hi.rep").select("key", "rep", "n_words", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
-        rest = rest.join(links.select(F.col("a").alias("lo"), F.col("b").alias("rep")), ["lo", "rep"], "left_anti")
-        rest = rest.join(links.select(F.col("a").alias("rep"), F.col("b").alias("hi")), ["rep", "hi"], "left_anti")
-        rest = materialise(rest.select("rep", "n_words", "key"), "nd-rest")
-        # of two members that are linked already (by another bucket) the lesser stands for both
-        known = rest.join(links.select(F.col("b").alias("rep"), "a"), "rep").select("key", "rep", "a")
-        known = known.join(rest.select("key", F.col("rep").alias("a")), ["key", "a"], "left_semi").select("key", "rep").distinct()
-        members = materialise(rest.join(known, ["key", "rep"], "left_anti").select("rep", "n_words", "key"), "nd-keys")
+    node = F.struct("rep", "n_words")
+    leaders = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("n > 1"), "nd-leaders")
+    bucketed = materialise(members.join(leaders, "key"), "nd-buckets")
+    ids = materialise(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "nd-ids")
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = materialise(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nd-texts")
+
+    def pair(end: str) -> DataFrame:
+        other = F.col(end)
+        fits = F.least(other["n_words"], F.col("n_words")) >= least * F.greatest(other["n_words"], F.col("n_words"))
+        return bucketed.where((F.col("rep") != other["rep"]) & fits).select(F.least(other["rep"], F.col("rep")).alias("a"), F.greatest(other["rep"], F.col("rep")).alias("b"))
+
+    tried = materialise(pair("lo").unionByName(pair("hi")).distinct(), "nd-pairs")
+    found = materialise(_verified(tried, texts, least), "nd-links")
+    links = None if found.isEmpty() else found
     groups = None if links is None else connected_components(links, "a", "b", "nd")
+    # three members are all compared by now; of larger buckets those that still span components are open
+    large = bucketed.where("n > 3").select("key", "rep", "n_words", "n")
+    if groups is None:
+        large = large.withColumn("component", F.col("rep"))
+    else:
+        large = large.join(groups, large["rep"] == groups["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+    large = materialise(large, "nd-large")
+    spans = materialise(large.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "nd-spans")
+    opened = materialise(large.join(spans, "key"), "nd-open")
+    if not opened.isEmpty():
+        rest = _untried(opened, texts, least).join(tried, ["a", "b"], "left_anti")
+        more = materialise(_verified(materialise(rest, "nd-rest"), texts, least), "nd-more")
+        if not more.isEmpty():
+            links = more if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            groups = connected_components(links, "a", "b", "nd")
     names = unique.select("tid", "rep")
     if links is not None:
         names = names.join(groups, names["rep"] == groups["node"], "left").select("tid", F.coalesce("component", "rep").alias("component_id"))

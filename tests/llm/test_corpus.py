@@ -202,6 +202,37 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert got == {k: find(k) for k in text}
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_duplicates_of_drifting_chains(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    common, rows = prose(50, rng), []
+    for chain in range(12):
+        tail = prose(75, rng).split()
+        for step in range(5):
+            rows.append((rng.randrange(10**9), common + " " + " ".join(tail)))
+            tail[15 * step : 15 * step + 15] = prose(15, rng).split()
+    text = dict(rows)
+    assert len(text) == len(rows)
+    ids = sorted(text)
+    keys = dict(zip(ids, (set(map(int, k)) for k in neardup.sketch([text[k].encode() for k in ids], sketches=1)[0]), strict=True))
+    parent = {k: k for k in ids}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in ids:
+        for b in ids:
+            if a < b and keys[a] & keys[b] and neardup.similar(text[a].encode(), text[b].encode()):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert not neardup.similar(rows[0][1].encode(), rows[4][1].encode())
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(rows), sketches=1).collect()}
+    assert got == {k: find(k) for k in ids}
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     got = neardup.near_duplicates(docs(ODD)).collect()
     assert len(got) == len(ODD)
