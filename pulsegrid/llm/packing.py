@@ -2,11 +2,11 @@
 
 The pieces' length histogram (at most ``capacity`` rows, whatever the corpus) goes
 to the driver. There the configuration linear program, which covers the histogram
-by patterns of lengths that fit one sequence, is solved by multiplicative weights:
-a length's price falls by a factor as it is covered, and the next pattern is the
-one of the highest price, found by a knapsack dynamic program. Pattern counts are
-rounded down, and what is left is packed best-fit, longest first, again by whole
-patterns, so that the driver's work depends on the capacity only.
+by fractional weights of patterns of lengths that fit one sequence, is solved by
+multiplicative weights: a length's price falls by a factor with its cover, and patterns
+are those of the highest price, found by a knapsack dynamic program. The weights are
+rounded, and what is left is packed best-fit, longest first, again by whole patterns,
+so that the driver's work depends on the capacity only.
 
 The cluster then numbers the pieces of each length and reads each piece's place
 off the pattern table. The numbering uses (length, hash bucket) groups of bounded
@@ -61,49 +61,85 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
-def _knapsack(lengths: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int) -> Counter:
-    """The pattern of the highest price; no length occurs more often than it is left."""
+def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For every room the highest price that fits, and the index taken there (-1: the room below)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]) if len(lengths) else capacity + 1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        value = best[c - lengths[:n]] + price[:n]
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for c in range(int(lengths[0]), capacity + 1):
+        value = best[c - lengths[: fit[c]]] + price[: fit[c]]
         k = int(value.argmax())
         best[c], choice[c] = (value[k], k) if value[k] > best[c - 1] else (best[c - 1], -1)
-    pattern, c = Counter(), capacity
-    while c > 0:
-        k = choice[c]
-        if k < 0:
-            c -= 1
-        else:
-            if pattern[k] < left[k]:
-                pattern[k] += 1
-            c -= int(lengths[k])
-    return pattern
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300, step: float = 0.2, eta: float = 0.1, power: float = 1.3) -> list[tuple[dict[int, int], int]]:
+    return best, choice.tolist()
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, eta: float = 0.3) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional pattern weights that cover the demand, and a lower bound of the linear program.
+
+    Patterns are tuples of indices. The demand is met in phases, half as many as lengths (50 at
+    least), of growing targets. In a phase every length that is behind the target is met by the
+    pattern of the highest price that holds it; between phases a price falls by a factor with
+    the length's cover beyond the target. The prices of each phase are also a solution of the
+    dual program once scaled, which bounds the weights from below.
+    """
+    phases, sizes = max(50, len(lengths) // 2), lengths.tolist()
+    weights: dict[tuple[int, ...], float] = {}
+    cover, price = np.zeros(len(lengths)), lengths / capacity
+    bound = 0.0
+    for phase in range(1, phases + 1):
+        target = (phase / phases) ** 2
+        best, choice = _knapsack(lengths, price, capacity)
+        bound = max(bound, float((demand * price).sum() / best[capacity]))
+        for top in range(len(sizes) - 1, -1, -1):
+            if cover[top] >= target:
+                continue
+            items, room = [top], capacity - sizes[top]
+            while room > 0:
+                k = choice[room]
+                if k < 0:
+                    room -= 1
+                else:
+                    items.append(k)
+                    room -= sizes[k]
+            pattern = tuple(sorted(items, reverse=True))
+            held = Counter(pattern)
+            weight = float((target - cover[top]) * demand[top] / held[top])
+            for k, m in held.items():
+                cover[k] += weight * m / demand[k]
+            weights[pattern] = weights.get(pattern, 0.0) + weight
+        price = lengths / capacity * np.exp(-eta * np.minimum(cover / target - 1, 3))
+    return weights, bound
+
+
+def rounded(weights: dict[tuple[int, ...], float], bound: float, left: np.ndarray) -> list[tuple[Counter, int]]:
+    """Whole counts of the patterns, taken off ``left``; what cannot be taken stays there.
+
+    The weights are scaled down to the bound; the fraction that rounding down cuts from a pattern
+    goes to the next one, and no length is taken more often than it is left.
+    """
+    out, carry, scale = [], 0.0, min(1.0, bound / max(sum(weights.values()), 1e-9))
+    for pattern in sorted(weights, reverse=True):
+        carry += weights[pattern] * scale
+        want = int(carry)
+        carry -= want
+        held = Counter(pattern)
+        times = min(want, *(int(left[k]) // m for k, m in held.items()))
+        if times:
+            for k, m in held.items():
+                left[k] -= m * times
+            out.append((held, times))
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: times}, sequences) that hold the histogram exactly."""
     out: list[tuple[dict[int, int], int]] = []
     if histogram.get(capacity):
         out.append(({capacity: 1}, histogram[capacity]))
     lengths = np.array(sorted(x for x, n in histogram.items() if n > 0 and x < capacity), dtype=np.int64)
-    total = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    left = total.copy()
-    # multiplicative weights: the price of a length is its share of a sequence times a weight that
-    # shrinks by a factor with every share of its demand that is covered
-    for _ in range(rounds):
-        alive = np.flatnonzero(left)
-        if left.sum() < 4 * len(lengths):
-            break
-        price = (lengths[alive] / capacity) ** power * np.exp(eta * (left[alive] / total[alive] - 1.0))
-        pattern = _knapsack(lengths[alive], price, left[alive], capacity)
-        if not pattern:
-            break
-        times = min(int(left[alive[k]]) // m for k, m in pattern.items())
-        times = max(1, int(times * step)) if times > 8 else times
-        for k, m in pattern.items():
-            left[alive[k]] -= m * times
-        out.append(({int(lengths[alive[k]]): m for k, m in pattern.items()}, times))
+    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    if len(lengths):
+        weights, bound = fractional(lengths, left.astype(float), capacity)
+        out += [({int(lengths[k]): m for k, m in held.items()}, times) for held, times in rounded(weights, bound, left)]
     # best fit for the rest: the longest that is left, then what fills the gap best (an exact subset sum
     # over the lengths that are left)
     while left.any():
@@ -165,7 +201,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     """
     cut = materialise(pieces(docs, capacity, path), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    spark = docs.sparkSession
     places = slots(solve(histogram, capacity))
     n_buckets = max(1, -(-sum(histogram.values()) // ROWS_PER_BUCKET))
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)))
@@ -174,12 +209,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     bases = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
-    # the slot table has at most a few rows for each of ``capacity`` lengths and round: a proven bound
-    table = spark.createDataFrame(places, "length long, from_rank long, to_rank long, first_sequence long, slot_offset long")
-    per_length = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("from_rank", "to_rank", "first_sequence", "slot_offset"))).alias("slots"))
-    placed = ranked.join(F.broadcast(per_length), "length")
-    found = F.filter("slots", lambda s: (s["from_rank"] <= F.col("rank")) & (F.col("rank") < s["to_rank"]))
-    placed = placed.withColumn("slot", F.get(found, F.lit(0)))
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("slot.first_sequence") + F.col("rank") - F.col("slot.from_rank")).alias("sequence_id"), F.col("slot.slot_offset").alias("offset")
-    )
+    # the slot table has a few rows for each pattern, of which there are fewer than lengths times phases,
+    # and best-fit patterns of the remainder: a bound that does not grow with the corpus
+    table = np.array(sorted(places), dtype=np.int64).reshape(-1, 5)
+    keys = (table[:, 0] << 48) + table[:, 1]
+
+    def place(batches):
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            row = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
+            more = [pa.array(row[:, 3] + rank - row[:, 1], pa.int64()), pa.array(row[:, 4], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(place, PIECES + ", sequence_id long, offset long")

@@ -175,6 +175,27 @@ def test_solve_holds_the_histogram():
             assert sum(t for _, t in found) <= 1.01 * sum(length * m for length, m in histogram.items()) / 1024 + 1
 
 
+def test_packing_solves_the_fractional_program():
+    import numpy as np
+
+    rng = random.Random(2)
+    histogram = collections.Counter(min(1023, int(rng.lognormvariate(5.5, 0.9)) + 1) for _ in range(57_000))
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[int(x)] for x in lengths])
+    weights, bound = packing.fractional(lengths, demand.astype(float), 1024)
+    cover = np.zeros(len(lengths))
+    for pattern, weight in weights.items():
+        assert lengths[list(pattern)].sum() <= 1024
+        np.add.at(cover, list(pattern), weight)
+    assert (cover >= demand * (1 - 1e-9)).all()
+    # the bound may not be above what the lengths themselves need
+    assert bound <= sum(weights.values()) <= 1.15 * bound and bound >= 0.999 * (lengths * demand).sum() / 1024
+    left = demand.copy()
+    sequences = sum(times for _, times in packing.rounded(weights, bound, left))
+    assert left.sum() <= 0.3 * demand.sum() and sequences <= bound + 1
+    assert sum(times for _, times in packing.solve(histogram)) <= 1.005 * bound
+
+
 # -- order MinHash ----------------------------------------------------------
 def classes(df):
     return {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
