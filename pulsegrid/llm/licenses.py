@@ -1,7 +1,7 @@
 """Operator 5: license scans by an exact set-similarity join with license templates.
 
 Words are ordered by their frequency over the whole corpus, rarest first. A text
-block (a line, or a paragraph of several lines) meets a template when it holds at
+block (a line, a paragraph of several lines, for short statements adjacent lines) meets a template when it holds at
 least ``CONTAINMENT`` of the template's distinct words. Any such block shares one of
 the template's first ``n - need + 1`` words in that order (prefix filter), has at
 least ``need`` words (length filter), and the first shared word stands early enough
@@ -67,14 +67,13 @@ class Index:
             for position, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((number, position))
         self.keys = frozenset(self.prefix)
+        #: words of the longest short statement
+        self.longest = max((len(words(text)) for _, text in templates if len(set(words(text))) <= STATEMENT), default=0)
 
-    def matches(self, block: set[bytes], is_paragraph: bool = False) -> dict[str, float]:
-        """label -> containment, for the templates that the block meets best (variants of a license
-        share most words, so a lesser one beside a better one is no finding).
-
-        Paragraphs count for notices only: a statement of ``STATEMENT`` words or fewer stands in one line.
-        """
-        out: dict[str, float] = {}
+    def reached(self, block: set[bytes], least: int = 0, most: int = 1 << 30) -> list[tuple[str, float, frozenset]]:
+        """(label, containment, words found) of every template of more than ``least`` and up to ``most``
+        words that the block meets."""
+        out = []
         first: dict[int, int] = {}
         for w in block & self.keys:
             for number, position in self.prefix[w]:
@@ -82,14 +81,32 @@ class Index:
                     first[number] = position
         for number, position in first.items():
             label, ordered, whole, need = self.templates[number]
-            if len(block) < need or len(ordered) - position < need or is_paragraph and len(ordered) <= STATEMENT:
+            if len(block) < need or len(ordered) - position < need or not least < len(ordered) <= most:
                 continue
-            shared = len(whole & block)
-            if shared >= need:
-                out[label] = max(out.get(label, 0.0), shared / len(ordered))
+            found = whole & block
+            if len(found) >= need:
+                out.append((label, len(found) / len(ordered), found))
+        return out
+
+    def matches(self, block: set[bytes], is_paragraph: bool = False) -> dict[str, float]:
+        """label -> containment, for the templates that the block meets best."""
+        out: dict[str, float] = {}
+        for label, share, _ in self.reached(block, STATEMENT if is_paragraph else 0):
+            out[label] = max(out.get(label, 0.0), share)
         best = max(out.values(), default=0.0)
         return {label: share for label, share in out.items() if share == best}
 
+    def labels(self, text: str) -> dict[str, float]:
+        """label -> containment, for all templates that a span of the text meets. Variants of a license share
+        most words: one is left out if a better one of another label, in the same lines or around them,
+        holds all its words that were found."""
+        met = [(first, last, *x) for first, last, block, least, most in spans(text, self.longest) for x in self.reached(block, least, most)]
+        out: dict[str, float] = {}
+        for first, last, label, share, found in met:
+            if not any(better > share and other != label and start <= first and last <= end and found <= held for start, end, other, better, held in met):
+                out[label] = max(out.get(label, 0.0), share)
+        return out
+
 
 def vocabulary(templates=TEMPLATES) -> frozenset:
     return frozenset(w for _, text in templates for w in words(text))
@@ -135,6 +152,31 @@ def blocks(text: str):
             paragraph = []
 
 
+def spans(text: str, longest: int):
+    """(first line, last line, words, least, most): what is compared with the templates of more than
+    ``least`` and up to ``most`` distinct words.
+
+    Lines meet all templates and paragraphs the notices. A statement that is wrapped fills the lines
+    between its first and its last, so spans of adjacent lines for it hold ``longest`` words there at most.
+    """
+    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").translate(_LINES).split(b"\n")]
+    start, whole = 0, set()
+    for i, line in enumerate([*lines, []]):
+        if not line:
+            if i - start > 1:
+                yield start, i - 1, whole, STATEMENT, 1 << 30
+            start, whole = i + 1, set()
+            continue
+        whole = whole.union(line)
+        block, inside, j = set(line), 0, i + 1
+        yield i, i, block, 0, 1 << 30
+        while j < len(lines) and lines[j] and inside <= longest:
+            block = block.union(lines[j])
+            yield i, j, block, 0, STATEMENT
+            inside += len(lines[j])
+            j += 1
+
+
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -151,10 +193,9 @@ def scan_text(text: str | None, index: Index, phrases=PHRASES) -> tuple:
             places += found
     score = 1.0 if base else 0.0
     if not index.keys.isdisjoint(ws):
-        for block, is_paragraph in blocks(text):
-            for label, share in index.matches(block, is_paragraph).items():
-                labels.add(label)
-                score = max(score, share)
+        found = index.labels(text)
+        labels |= found.keys()
+        score = max(score, *found.values(), 0.0)
     labels |= base
     return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score)
 

@@ -315,6 +315,13 @@ def test_licenses_match_brute_force(spark, docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_licenses_beside_a_better_one_and_wrapped(spark, docs):
+    notice = "Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    rows = [(1, "Licensed under the Apache License, Version 2.0. " + notice), (2, "This work is licensed under the GNU General Public\nLicense, version 3."), (3, "This work is\nlicensed under\nthe GNU General\nPublic License,\nversion 2."), (4, "Licensed under CC BY-NC 4.0."), (5, "This work is licensed under the GNU General Public\n\nLicense, version 3.")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(rows)).collect()}
+    assert got == {1: "apache-2,mit", 2: "gpl-3", 3: "gpl-2", 4: "cc-by-nc", 5: ""}
+
+
 # -- mixing -----------------------------------------------------------------
 def test_mixing(spark, docs):
     rows = [(i, prose(RNG.randrange(0, 60))) for i in range(120)] + [(500, None), (None, "a b c"), (501, "q"), (501, "q")]
