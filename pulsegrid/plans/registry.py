@@ -113,6 +113,18 @@ def nan_fill_grid(c):
     return scan.fill(c.samples.where("device_id < 5"), KEYS, A_N, B_N, HOUR_NS)
 
 
+@query(
+    _with(
+        "samples",
+        f"""+ k as (select distinct measure_id, device_id from samples), spine as (select measure_id, device_id, unnest(range({7 * 24}))::bigint as slot from k),
+    h as (select measure_id, device_id, round_even((time_n - {A_N})::decimal(38, 6) / {HOUR_NS}, 0)::bigint as slot, arg_max(value, (time_n, write_seq)) as value from samples where time_n >= {A_N} and time_n < {B_N} group by 1, 2, 3)
+    select measure_id, device_id, slot, {A_N} + slot * {HOUR_NS} as time_n, value from spine left join h using (measure_id, device_id, slot)""",
+    )
+)
+def nan_fill_grid_all(c):
+    return scan.fill(c.samples, KEYS, A_N, B_N, HOUR_NS)
+
+
 @query(_with("samples", "+ t as (select measure_id, (time_n // 60000000000) * 60000000000 as time_n from samples), d as (select measure_id, time_n - lag(time_n) over (partition by measure_id order by time_n) as step from t), n as (select measure_id, step, count(*) as n from d where step > 0 group by 1, 2) select measure_id, arg_max(step, (n, -step)) as period_ns from n group by 1"))
 def detect_period(c):
     minute = (units.floor_div(F.col("time_n"), 60_000_000_000) * 60_000_000_000).alias("time_n")
@@ -571,6 +583,12 @@ def vacuum_anti(c):
     return c.table("orders").where("o_orderkey % 7 = 0").join(used, "o_orderkey", "left_anti").select("o_orderkey")
 
 
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)")
+def vacuum_anti_all(c):
+    used = c.table("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return c.table("orders").join(used, "o_orderkey", "left_anti").select("o_orderkey")
+
+
 @query(_with("samples", f"select s.measure_id, s.device_id + 1000 as device_id, time_n - {DAY_NS} as time_n, value from samples s where s.device_id in (1, 2, 3) and time_n >= {A_N} and time_n < {B_N}"))
 def transfer_shifted(c):
     ids = c.samples.select("device_id").distinct().where("device_id in (1, 2, 3)")
