@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
@@ -42,14 +43,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(df: DataFrame) -> None:
-    """Remove the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if any(path.rstrip("/").endswith(w.rpartition("/")[2]) for w in _written):
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+def release(*frames: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_written_at", None)
+        if path in _written:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _written.remove(path)
 
 
 def _remove_written() -> None:
@@ -70,11 +72,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs a re-read, not a recomputation, and joins on the
     result have plain exchanges on both sides, which adaptive execution can split.
+    The write's own shuffle files go when it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -357,9 +357,10 @@ def test_positions_invert_the_schedule(spark):
 
 # -- lines ------------------------------------------------------------------
 def brute_lines(rows, t=0.8):
+    """(index of the row, line) of each line that goes; ``rows`` in the order of documents."""
     seen, gone = [], set()
-    for k, text in sorted((x for x in rows if x[1] is not None), key=lambda x: -(2**63) if x[0] is None else x[0]):
-        for i, line in enumerate(text.split("\n")):
+    for k, (_, text) in enumerate(rows):
+        for i, line in enumerate((text or "").split("\n")):
             words = frozenset(re.findall(r"[^\x20\x09-\x0d]+", line.lower()))
             if words:
                 if any(len(words & w) >= t * len(words | w) - 1e-9 for w in seen):
@@ -368,22 +369,38 @@ def brute_lines(rows, t=0.8):
     return gone
 
 
+def cleaned(rows):
+    gone = brute_lines(rows)
+    return [None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (k, i) not in gone) for k, (_, text) in enumerate(rows)]
+
+
 def test_lines_match_brute_force(spark, docs):
     pool = [prose(n) for n in (1, 2, 4, 5, 9, 14, 20, 40)]
-    rows = []
+    rows = [(None, pool[-1]), (-1, prose(30) + "  x\t\ty \r")]
     for i in range(60):
         part = [edited(RNG.choice(pool), RNG.choice([6, 11, 30])) if RNG.random() < 0.6 else prose(RNG.randrange(1, 20)) for _ in range(4)]
         rows.append((i, "\n".join(part)))
-    rows += [(70, None), (71, ""), (72, "\n \n"), (None, pool[-1])]
+    rows += [(70, None), (71, ""), (72, "\n \n"), (73, "É é\tx y z w\né É x  y z w"), (74, prose(5000)), (75, "   ")]
     df = docs(rows)
-    got = {(None if r["did"] == -(2**63) else r["did"], r["line"]) for r in lines.removed_lines(df).collect()}
-    assert got == brute_lines(rows)
-    cleaned = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
-    for k, text in rows:
-        left = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (k, i) not in got)
-        assert cleaned[k]["text"] == left and cleaned[k]["n_chars"] == (None if left is None else len(left))
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    assert {k: got[k]["text"] for k, _ in rows} == dict(zip([k for k, _ in rows], cleaned(rows), strict=True))
+    assert all(got[k]["n_chars"] == (None if got[k]["text"] is None else len(got[k]["text"])) for k in got)
     assert lines.dedup_lines(df).columns == df.columns
     assert lines.dedup_lines(docs([])).count() == 0
+    assert collections.Counter(r["n_removed"] for r in lines.summary(df).collect()).total() == len(rows)
+
+
+def test_lines_of_repeated_rows_and_ids(spark, docs):
+    # two rows of one id are two documents
+    rows = [(1, "shared text goes right here"), (2, "shared text goes right here\nkeep this one okay"), (2, "innocent unique line text\nkeep this two okay")]
+    assert sorted(r["text"] for r in lines.dedup_lines(docs(rows)).collect()) == ["innocent unique line text\nkeep this two okay", "keep this one okay", "shared text goes right here"]
+    # rows without an id share a line, and an equal row loses all its lines
+    rows = [(None, "same line of several words\nfirst"), (None, "same line of several words\nsecond"), (5, "twice the same\n \nrow"), (5, "twice the same\n \nrow")]
+    got = lines.dedup_lines(docs(rows)).collect()
+    assert sum("same line" in r["text"] for r in got) == 1 and sorted(r["text"] for r in got if r["doc_id"] == 5) == [" ", "twice the same\n \nrow"]
+    # ids that are no numbers
+    got = lines.dedup_lines(docs(rows).withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))).collect()
+    assert len(got) == 4 and {r["doc_id"] for r in got} == {None, "id-5"}
 
 
 # -- WARC -------------------------------------------------------------------
@@ -471,8 +488,8 @@ def test_pipeline_against_plain_steps(spark):
             assert {r["doc_id"] for r in docs.collect()} == good
         if name == "line_dedup":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            gone = brute_lines(rows)
-            expected = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in rows}
+            rows.sort()
+            expected = dict(zip([k for k, _ in rows], cleaned(rows), strict=True))
             assert {r["doc_id"]: r["text"] for r in docs.collect()} == expected
         if name == "near_dedup":
             kept = {r["doc_id"]: r["text"] for r in docs.collect()}
