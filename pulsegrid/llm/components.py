@@ -12,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
-def _star(pairs: DataFrame, name: str) -> DataFrame:
-    """pairs(u, v): for each u the least of u and its v; returns (u, v, m)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(materialise(least, name), "u")
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m): for each u of pairs(u, v) the least of u and its v."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def connected_components(links: DataFrame, left: str, right: str, name: str = "cc") -> DataFrame:
@@ -37,11 +36,15 @@ def connected_components(links: DataFrame, left: str, right: str, name: str = "c
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = _star(both, f"{name}-big").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialise(_least(both), f"{name}-big")
+        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         big = materialise(big, f"{name}-large")
-        small = _star(big, f"{name}-small")
+        release(edges, least)
+        least = materialise(_least(big), f"{name}-small")
+        small = big.join(least, "u")
         small = small.select("v", "m").where("v <> m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v <> m")
         edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-edges")
+        release(big, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -4,11 +4,13 @@ Every source has a weight schedule w(t), t in [0, 1], whose integral is the numb
 of words that the mix takes from it. A source's documents, in a fixed hashed order
 and repeated up to ``max_repeats`` times, form one stream of words; a copy that
 starts ``a`` words into the stream is trained at the t at which the integrated
-schedule reaches ``a``. Copies that start at or after the target get no position.
+schedule reaches ``a``. Copies are taken whole: the one that reaches the target is in
+if that brings the source's words nearer to it. The copies are range-sorted by position.
 
-Distribution: the order within a source is that of md5(doc_id); the running word
-count is built from (source, md5 prefix) buckets, so a source that holds most rows
-is spread over many tasks. Only one row per source ever meets in one task.
+Distribution: the order within a source is that of md5(doc_id, text). The running word
+count is built from (source, md5 prefix) buckets of two levels, so that neither a source
+that holds most rows nor its buckets meet in one task. The table of sources itself, a row
+each, is one group.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_CLASS, WORD_CLASS, materialise, words_of
+from .common import materialise, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Slope of each weight class's schedule: w(t) is proportional to 1 + slope * (2t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -56,68 +58,71 @@ def position_at(start: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, u).otherwise(root)
 
 
+def _order() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
+
+
+def _source() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+
+
 def assign(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, slopes=SLOPES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, size, source, h, src, source_size, target, copies, taken.
 
-    ``copies`` is an array of (copy, start, words, position), one for each copy that
-    the mix takes; ``words`` is below the document's size only for the copy that
-    reaches its source's target, which is cut there. Null text counts no words; a
-    null source is a source of its own, last; a null doc_id sorts first in its
-    source; repeated rows are separate documents; empty input gives no rows.
+    ``copies`` is an array of (copy, start, position), one for each copy that the mix takes, each the
+    whole document. Null text counts no words, and documents without a word have no copies; a
+    null source is a source of its own, last; null and repeated ids are told apart by the text, and
+    equal rows are separate documents; empty input gives no rows.
     """
-    size = F.size(words_of(F.col("text"))).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    rows = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _order().alias("h"), _source().alias("src"))
     rows = materialise(rows, "mix-sizes")
     n = rows.count()
-    digits = 1
-    while 16**digits * ROWS_PER_BUCKET < n and digits < 8:
+    digits = 2
+    while 16**digits * ROWS_PER_BUCKET < n and digits < 12:
         digits += 1
     rows = rows.withColumn("bucket", F.substring("h", 1, digits))
-    buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
-    per_source = targets(buckets.groupBy("src").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")).select("source", "source_size"), weights, max_repeats)
-    per_source = per_source.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    running = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.drop("source").withColumn("base", F.coalesce(F.sum("bucket_size").over(running), F.lit(0))).join(per_source, "src").drop("bucket_size")
-    starts = materialise(starts, "mix-buckets")
-    inside = W.partitionBy("src", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(starts, ["src", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    buckets = materialise(rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"), F.any_value("source").alias("source")), "mix-buckets")
+    groups = buckets.groupBy("src", F.substring("bucket", 1, digits // 2).alias("coarse")).agg(F.sum("bucket_size").alias("group_size"))
+    per_source = buckets.groupBy("src").agg(F.any_value("source").alias("source"), F.sum("bucket_size").alias("source_size"))
+    per_source = targets(per_source.select("source", "source_size"), weights, max_repeats).withColumn("src", _source()).drop("source")
+    upto = lambda size, *keys: F.coalesce(F.sum(size).over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("src", "coarse", upto("group_size", "src", "coarse").alias("before")).join(per_source, "src")
+    starts = buckets.withColumn("coarse", F.substring("bucket", 1, digits // 2)).select("src", "coarse", "bucket", upto("bucket_size", "src", "coarse", "bucket").alias("within"))
+    starts = starts.join(groups, ["src", "coarse"]).withColumn("base", F.col("before") + F.col("within")).drop("coarse", "before", "within")
+    starts = materialise(starts, "mix-starts")
+    placed = rows.join(starts, ["src", "bucket"]).withColumn("at", F.col("base") + upto("size", "src", "bucket", "h"))
     slope = F.get(F.array(*map(F.lit, slopes)), F.pmod("rank", F.lit(len(slopes))))
+    wanted = F.round(F.col("target")).cast("long")
 
     def one(copy: int) -> Column:
         start = F.col("at") + copy * F.col("source_size")
-        taken = F.greatest(F.lit(0), F.least(F.col("size"), F.round(F.col("target")).cast("long") - start))
-        return F.struct(F.lit(copy).alias("copy"), start.alias("start"), taken.alias("words"), position_at(start.cast("double"), F.col("target"), slope).alias("position"))
+        taken = (F.col("size") > 0) & (start < wanted) & (2 * (wanted - start) >= F.col("size"))
+        return F.when(taken, F.struct(F.lit(copy).alias("copy"), start.alias("start"), position_at(start.cast("double"), F.col("target"), slope).alias("position")))
+
+    placed = placed.withColumn("copies", F.array_compact(F.array(*[one(k) for k in range(max_repeats)])))
+    taken = (F.size("copies") * F.col("size")).alias("taken")
+    return placed.select("doc_id", "size", "source", "h", "src", "source_size", "target", "copies", taken)
+
 
-    copies = F.filter(F.array(*[one(k) for k in range(max_repeats)]), lambda c: c["words"] > 0)
-    placed = placed.withColumn("copies", copies)
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return placed.select("doc_id", "size", "source", "h", "source_size", "target", "copies", taken.alias("taken"))
+def in_order(plan: DataFrame) -> DataFrame:
+    """The rows of ``assign`` range-sorted by the position of their first copy; rows without one come last."""
+    first = F.get("copies", F.lit(0))["position"]
+    rows = plan.withColumn("first_position", first).withColumn("__at", F.coalesce(first, F.lit(2.0)))
+    return rows.repartitionByRange("__at", "h").sortWithinPartitions("__at", "h").drop("__at")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents in training order: the columns of ``docs``, a row per copy.
+    """The documents in training order: the columns of ``docs``, a row per copy that the mix takes.
 
-    Rows are range-partitioned and sorted by position. The copy that reaches its
-    source's target is cut after the words that are still wanted. Documents without
-    a word are not in the mix.
+    Rows are range-partitioned and sorted by position. Documents without a word are not in the mix.
+    Equal rows (by doc_id, text and source) are one row here, with the copies of all of them.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "source", "text")]))
-    plan = assign(docs, **how)
-    # equal (doc_id, source, size) rows are interchangeable; number them on both sides
-    same = W.partitionBy("doc_id", "source", "size").orderBy("__k")
-    left = keyed.withColumn("size", F.size(words_of(F.col("text"))).cast("long")).withColumn("__k", F.col("__row")).withColumn("__nth", F.row_number().over(same)).drop("__k", "__row")
-    right = plan.where("taken > 0").withColumn("__k", F.get("copies", F.lit(0))["start"]).withColumn("__nth", F.row_number().over(same)).select("doc_id", "source", "size", "__nth", "copies")
-    right = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
-    on = left["doc_id"].eqNullSafe(right["__r_doc_id"]) & left["source"].eqNullSafe(right["__r_source"]) & (left["size"] == right["__r_size"]) & (left["__nth"] == right["__r___nth"])
-    rows = left.join(right, on).withColumn("__c", F.explode("__r_copies"))
-    kept = F.when(F.col("__c.words") < F.col("size"), first_words(F.col("text"), F.col("__c.words"))).otherwise(F.col("text"))
-    columns = [kept.alias("text") if c == "text" else F.char_length(kept).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    rows = rows.withColumn("__position", F.col("__c.position"))
-    return rows.select(*columns, "__position").repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").drop("__position")
-
-
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word, white space between words unchanged."""
-    parts = F.regexp_extract_all(text, F.lit(f"({SPACE_CLASS}*{WORD_CLASS}+)"), 1)
-    return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
+    plan = materialise(assign(docs, **how), "mix-plan")
+    copies = plan.select("h", "src", F.explode("copies").alias("c")).select("h", "src", F.col("c.position").alias("position"), F.col("c.start").alias("start"))
+    again = materialise(plan.groupBy("h", "src").agg(F.count("*").alias("n")).where("n > 1").select("h", "src"), "mix-again")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), _order().alias("h"), _source().alias("src"))
+    if not again.isEmpty():
+        one = rows.join(again, ["h", "src"], "left_semi").dropDuplicates(["h", "src"])
+        rows = rows.join(again, ["h", "src"], "left_anti").unionByName(one)
+    rows = rows.join(copies, ["h", "src"])
+    return rows.repartitionByRange("position", "start", "h").sortWithinPartitions("position", "start", "h").select("r.*")

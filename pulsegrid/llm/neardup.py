@@ -6,7 +6,8 @@ keeps them in text order: two texts share such a sketch with a chance that falls
 with their edit distance, order included. Texts that share a sketch are candidates;
 they are linked if a banded alignment matches at least 0.8 of the longer one's words.
 
-Exact copies are one text from the start. Inside the bucket of a sketch each text is
+Exact copies are one text from the start. Texts of up to ``SHORT`` words have few shingles; they also get
+keys by an exact prefix filter on their words. Inside the bucket of a sketch each text is
 first compared with the bucket's least and greatest member, which settles most of it.
 Then every pair of a bucket's members that are not in one component by now and were
 not tried is a candidate too, unless counts of hashed words prove it below the
@@ -15,21 +16,23 @@ threshold. Links are not transitive, so no member leaves a bucket before that.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .components import connected_components
 
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
-#: Ids of candidate texts are broadcast up to this many (8 bytes each), else joined.
+#: Texts of up to so many words also get keys that no similar pair can miss.
+SHORT = 24
+#: Ids of candidate texts are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_IDS = 400_000
 _CHUNK = 2 << 20
 #: Members of a bucket that meet in one group, and hash bins of the word counts.
@@ -168,25 +171,50 @@ def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return common.total() >= need and aligned_words(x, y, need) >= need
 
 
-def _sketched(docs: DataFrame, sketches: int, shingle: int) -> DataFrame:
+def short_keys(words: np.ndarray, least: float = SIMILARITY) -> list[int]:
+    """Keys of a short text: pairs of its prefix words in the order of their hashes.
+
+    Similar texts of n and m words share at least ``least`` of the longer one's words, so two of the shared
+    ones are among the first n - need + 2 of both; words are labelled with their occurrence.
+    """
+    seen: Counter = Counter()
+    labelled = []
+    for w in words.tolist():
+        labelled.append(hash((w, seen[w])))
+        seen[w] += 1
+    labelled.sort()
+    need = -int(-least * len(labelled) // 1)
+    return [hash(pair) for pair in combinations(labelled[: len(labelled) - need + 2], 2)] if need > 1 else []
+
+
+def text_id() -> Column:
+    """96 bits of hashes of the text: equal for equal texts, null for null."""
+    of = F.concat(F.lpad(F.hex(F.xxhash64("text")), 16, "0"), F.lpad(F.hex(F.hash("text")), 8, "0"))
+    return F.when(F.col("text").isNotNull(), F.unhex(F.right(of, F.lit(24))))
+
+
+def _sketched(docs: DataFrame, sketches: int, shingle: int, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            raw = batch.column("text").to_pylist()
-            ids, texts = batch.column("doc_id").cast(pa.int64()), [(t or "").encode("utf-8", "surrogatepass") for t in raw]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) < _CHUNK):
                     size += len(texts[end])
                     end += 1
-                part = texts[at:end]
-                keys, counts = sketch(part, sketches, shingle)
-                flat = pa.array(keys.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array([None if raw[at + k] is None else hashlib.blake2b(t, digest_size=16).digest() for k, t in enumerate(part)], pa.binary()), pa.array(counts.astype(np.int64)), lists], names=["doc_id", "tid", "n_words", "keys"])
+                keys, counts = sketch(texts[at:end], sketches, shingle)
+                lists = list(keys.view(np.int64))
+                for k in np.flatnonzero((counts > 0) & (counts <= SHORT)):
+                    lists[k] = np.concatenate((lists[k], np.array(short_keys(word_hashes([texts[at + k]])[0], least), dtype=np.int64)))
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:3]), pa.array(counts.astype(np.int64)), column], names=["doc_id", "row", "tid", "n_words", "keys"])
                 at = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tid binary, n_words long, keys array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_id().alias("tid"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, tid binary, n_words long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -194,17 +222,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            ok = [similar((p or "").encode("utf-8", "surrogatepass"), (q or "").encode("utf-8", "surrogatepass"), least) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, ok, strict=True) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+            x, y = (batch.column(c).to_pylist() for c in ("ta", "tb"))
+            ok = pa.array([similar((p or "").encode("utf-8", "surrogatepass"), (q or "").encode("utf-8", "surrogatepass"), least) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def _histograms(texts: DataFrame) -> DataFrame:
-    """rep, histogram: how many words of the text fall to each of ``BINS`` hash bins."""
+    """tid, histogram: how many words of the text fall to each of ``BINS`` hash bins."""
 
     def run(batches):
         for batch in batches:
@@ -212,109 +240,117 @@ def _histograms(texts: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words, _ = word_hashes([(text or "").encode("utf-8", "surrogatepass")])
                 out.append(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.binary())], names=["rep", "histogram"])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.binary())], names=["tid", "histogram"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, histogram binary")
+    return texts.select("tid", "text").mapInArrow(run, "tid binary, histogram binary")
 
 
 def _untried(opened: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of all members of a bucket in different components that can be similar.
 
-    opened(key, rep, n_words, n, component). A bucket is dealt to blocks of about ``BLOCK``
+    opened(key, tid, n_words, n, component). A bucket is dealt to blocks of about ``BLOCK``
     members and each pair of blocks is one group, so no task holds a bucket whole. Two texts match
     at most as many words as their histograms share, so pairs below the need are no loss.
     """
-    reps = materialise(opened.select(F.col("rep").alias("doc_id")).distinct(), "nd-reps")
-    histograms = materialise(_histograms(texts.join(reps, "doc_id", "left_semi")), "nd-histograms")
+    some = materialise(opened.select("tid").distinct(), "nd-some")
+    histograms = materialise(_histograms(texts.join(some, "tid", "left_semi")), "nd-histograms")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = opened.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_words", "component")
-    cells = materialise(dealt.join(histograms, "rep"), "nd-cells")
+    dealt = opened.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "n_words", "component")
+    cells = materialise(dealt.join(histograms, "tid"), "nd-cells")
+    release(some, histograms)
 
     def meet(cell: pa.Table) -> pa.Table:
-        rep, words, component, block = (cell.column(c).to_numpy() for c in ("rep", "n_words", "component", "block"))
+        cell = cell.sort_by("n_words").combine_chunks()
+        tid, words, block = cell.column("tid").to_pylist(), cell.column("n_words").to_numpy(), cell.column("block").to_numpy()
+        component = np.unique(np.array(cell.column("component").to_pylist(), dtype=object), return_inverse=True)[1].ravel()
         counts = np.frombuffer(b"".join(cell.column("histogram").to_pylist()), dtype="<i4").reshape(-1, BINS)
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        right = np.flatnonzero(block == j)
-        a, b = [], []
-        for x in np.flatnonzero(block == i):
-            need = np.ceil(least * np.maximum(words[x], words[right]))
-            y = right[(component[right] != component[x]) & (np.minimum(words[x], words[right]) >= need) & ((rep[right] > rep[x]) | (i != j))]
+        found = []
+        # in order of length each text meets the longer ones that its words can cover
+        for x in range(len(tid)):
+            longest = int(np.searchsorted(words, int(words[x] / least + 1e-9), side="right"))
+            y = np.arange(x + 1, longest)
+            y = y[(component[y] != component[x]) & (block[y] != block[x] if i != j else True)]
             if len(y):
-                y = y[np.minimum(counts[x], counts[y]).sum(axis=1) >= np.ceil(least * np.maximum(words[x], words[y]))]
-                a.append(np.minimum(rep[x], rep[y]))
-                b.append(np.maximum(rep[x], rep[y]))
-        none = [np.zeros(0, dtype=np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
+                y = y[np.minimum(counts[x], counts[y]).sum(axis=1) >= np.ceil(least * words[y] - 1e-9)]
+                found += [(min(tid[x], tid[k]), max(tid[x], tid[k])) for k in y.tolist()]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id, kept: one row per row of ``docs``.
 
     ``component_id`` is the least doc_id among the copies and near copies that links
-    reach; ``kept`` marks one row of each group. Texts without a word (empty, white
-    space) are copies of equal texts only; null texts are groups of their own, as are
-    rows without a doc_id, whose component_id is null. Of rows with equal doc_id and text one is kept. Texts below
-    five words are one shingle. Ties take the least doc_id. An empty table gives no rows.
+    reach; ``kept`` marks one row of each group, also where rows or ids repeat: of the least doc_id one
+    row. Texts without a word (empty, white space) are copies of equal texts only; null texts are groups
+    of their own, as are rows without a doc_id, whose component_id is null. Ids may be of any type. A
+    very long text is aligned in one task, in memory linear in it. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = materialise(_sketched(docs, sketches, shingle), "nd-sketches")
+    return _grouped(docs, sketches, shingle, least).select("doc_id", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, tid, component_id, kept: texts are told apart by their id, not by a document's."""
+    rows = materialise(_sketched(docs, sketches, shingle, least), "nd-sketches")
     usable = rows.where("doc_id is not null and tid is not null")
-    unique = materialise(usable.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nd-unique")
-    members = materialise(unique.where("n_words > 0").select(F.col("rep"), "n_words", F.explode("keys").alias("key")), "nd-keys")
-    node = F.struct("rep", "n_words")
+    unique = materialise(usable.groupBy("tid").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys")), "nd-unique")
+    members = materialise(unique.where("n_words > 0").select("tid", "n_words", F.explode("keys").alias("key")), "nd-keys")
+    node = F.struct("n_words", "tid")
     leaders = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("n > 1"), "nd-leaders")
-    bucketed = materialise(members.join(leaders, "key"), "nd-buckets")
-    ids = materialise(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "nd-ids")
+    bucketed = materialise(members.join(leaders, "key").distinct(), "nd-buckets")
+    release(members, leaders)
+    ids = materialise(bucketed.select("tid").distinct(), "nd-ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nd-texts")
+    texts = materialise(docs.select(text_id().alias("tid"), "text").join(chosen, "tid", "left_semi").dropDuplicates(["tid"]), "nd-texts")
 
     def pair(end: str) -> DataFrame:
         other = F.col(end)
         fits = F.least(other["n_words"], F.col("n_words")) >= least * F.greatest(other["n_words"], F.col("n_words"))
-        return bucketed.where((F.col("rep") != other["rep"]) & fits).select(F.least(other["rep"], F.col("rep")).alias("a"), F.greatest(other["rep"], F.col("rep")).alias("b"))
+        return bucketed.where((F.col("tid") != other["tid"]) & fits).select(F.least(other["tid"], F.col("tid")).alias("a"), F.greatest(other["tid"], F.col("tid")).alias("b"))
 
     tried = materialise(pair("lo").unionByName(pair("hi")).distinct(), "nd-pairs")
-    found = materialise(_verified(tried, texts, least), "nd-links")
-    links = None if found.isEmpty() else found
-    groups = None if links is None else connected_components(links, "a", "b", "nd")
+    links = materialise(_verified(tried, texts, least), "nd-links")
+    groups = connected_components(links, "a", "b", "nd")
     # three members are all compared by now; of larger buckets those that still span components are open
-    large = bucketed.where("n > 3").select("key", "rep", "n_words", "n")
-    if groups is None:
-        large = large.withColumn("component", F.col("rep"))
-    else:
-        large = large.join(groups, large["rep"] == groups["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+    large = bucketed.where("n > 3").select("key", "tid", "n_words", "n")
+    large = large.join(groups.withColumnRenamed("node", "tid"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
     large = materialise(large, "nd-large")
     spans = materialise(large.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "nd-spans")
     opened = materialise(large.join(spans, "key"), "nd-open")
+    release(ids, bucketed, large, spans, links)
     if not opened.isEmpty():
-        rest = _untried(opened, texts, least).join(tried, ["a", "b"], "left_anti")
-        more = materialise(_verified(materialise(rest, "nd-rest"), texts, least), "nd-more")
+        rest = materialise(_untried(opened, texts, least).join(tried, ["a", "b"], "left_anti"), "nd-rest")
+        more = materialise(_verified(rest, texts, least), "nd-more")
         if not more.isEmpty():
-            links = more if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            groups = connected_components(links, "a", "b", "nd")
-    names = unique.select("tid", "rep")
-    if links is not None:
-        names = names.join(groups, names["rep"] == groups["node"], "left").select("tid", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        names = names.select("tid", F.col("rep").alias("component_id"))
-    names = materialise(names, "nd-names")
-    grouped = usable.select("doc_id", "tid").join(names, "tid").select("doc_id", "component_id")
-    alone = rows.where("doc_id is null or tid is null").select("doc_id", F.col("doc_id").alias("component_id"))
-    out = grouped.unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b", "nd")
+        release(rest, more)
+    release(tried, texts, opened)
+    named = materialise(unique.select("tid", "rep").join(groups.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "rep", F.coalesce("component", "tid").alias("component")), "nd-named")
+    least_of = materialise(named.groupBy("component").agg(F.min("rep").alias("first")), "nd-first")
+    names = materialise(named.join(least_of, "component").select("tid", "first"), "nd-names")
+    release(unique, named, least_of)
+    found = usable.select("doc_id", "row", "tid").join(names, "tid").select("doc_id", "tid", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "row") == F.col("first")).alias("kept"))
+    alone = rows.where("doc_id is null or tid is null").select("doc_id", "tid", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    found = materialise(near_duplicates(docs, **how).select("doc_id", "kept"), "nd-found")
-    gone = materialise(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "nd-gone")
+    found = materialise(_grouped(docs, **how).where("doc_id is not null and tid is not null").groupBy("doc_id", "tid").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "nd-found")
+    columns = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), F.col("doc_id").alias("doc_id"), text_id().alias("tid"))
+    gone = materialise(found.where("not kept").select("doc_id", "tid"), "nd-gone")
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "nd-again")
+    left = keyed.join(F.broadcast(gone) if few else gone, ["doc_id", "tid"], "left_anti")
+    # equal rows of a kept document: one of them stays
+    again = materialise(found.where("kept and n > 1").select("doc_id", "tid"), "nd-again")
+    release(found)
     if again.isEmpty():
-        return left
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(repeated)
+        return left.select("r.*")
+    repeated = materialise(left.join(again, ["doc_id", "tid"], "left_semi").withColumn("n", F.monotonically_increasing_id()), "nd-repeated")
+    first = materialise(repeated.groupBy("doc_id", "tid").agg(F.min("n").alias("n")), "nd-one")
+    one = repeated.join(first, ["doc_id", "tid", "n"], "left_semi").select("r.*")
+    return left.join(again, ["doc_id", "tid"], "left_anti").select("r.*").unionByName(one)

@@ -29,7 +29,11 @@ def op5_license_scan(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix in training order; positions in millionths of the schedule, null where nothing is taken."""
+    plan = mixing.in_order(mixing.assign(table(spark, sf_dir, "documents")))
+    millionths = lambda p: F.floor(p * 1000000).cast("long")
+    positions = F.transform("copies", lambda c: millionths(c["position"]))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get(positions, F.lit(0)).alias("first_at"), F.try_element_at(positions, F.lit(-1)).alias("last_at"))
 
 
 def op7_line_dedup(spark, sf_dir):
@@ -109,7 +113,7 @@ from v join comp on comp.a = vec_id left join deg on deg.a = vec_id
 """
 
 OP6 = rf"""
-with d as (select doc_id, source, len({_WORDS})::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
+with d as (select doc_id, source, len({_WORDS})::bigint as size, md5(coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as rk from s),
 w as (select *, case rk % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, (source_size * 3)::double as bound from r),
@@ -119,14 +123,17 @@ lv as (
      / (sum(weight) over () - coalesce(sum(weight) over (order by ratio, rk rows between unbounded preceding and 1 preceding), 0.0)) as level
   from q),
 water as (select arg_min(level, (ratio, rk)) as lam from lv where level <= ratio),
-t as (select source, source_size, coalesce(least(lam * weight, bound), 0.0) as target from lv, water),
+t as (select source, source_size, rk, coalesce(least(lam * weight, bound), 0.0) as target from lv, water),
 o as (
-  select d.*, source_size, target, coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, round(target)::bigint - start)) + greatest(0, least(size, round(target)::bigint - start - source_size))
-   + greatest(0, least(size, round(target)::bigint - start - 2 * source_size)))::bigint as taken
-from o
+  select d.*, source_size, target, rk, coalesce(sum(size) over (partition by d.source order by h rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join t on d.source is not distinct from t.source),
+c as (
+  select *, case rk % 3 when 0 then -0.5 when 1 then 0.0 else 0.5 end::double as slope, list_filter([start, start + source_size, start + 2 * source_size],
+    lambda a: size > 0 and a < round(target)::bigint and 2 * (round(target)::bigint - a) >= size) as a from o),
+p as (
+  select *, list_transform(a, lambda x: floor((case when slope = 0 then x::double / target
+    else (sqrt((1 - slope) * (1 - slope) + 4 * slope * (x::double / target)) - (1 - slope)) / (2 * slope) end) * 1000000)::bigint) as spots from c)
+select doc_id, size, source_size, target, (len(a) * size)::bigint as taken, spots[1] as first_at, spots[-1] as last_at from p
 """
 
 OP7 = rf"""
