@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .components import connected_components
 
 COSINE = 0.98
@@ -33,9 +33,15 @@ _SLACK = 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 class CoverTree:
     """Nested levels over unit vectors: every point of level k + 1 lies within radius
     2**-k * first of its parent, and a parent is its own first child."""
@@ -155,7 +161,7 @@ def link_block(own: np.ndarray, other: np.ndarray | None, weights: np.ndarray, c
     a = CoverTree(_unit(own), reach / 2)
     b = a if other is None else CoverTree(_unit(other), reach / 2)
     shift = 0 if other is None else len(own)
-    raw = own if other is None else np.concatenate((own, other))
+    raw = _scaled(own if other is None else np.concatenate((own, other)))
     counts = np.zeros(len(raw), dtype=np.int64)
     parent = np.arange(len(raw))
 
@@ -206,16 +212,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     spark = vectors.sparkSession
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    rows = vectors.select("vec_id", "label", x.alias("x"))
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & (squares > 0), F.lit(False))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
     usable = vectors.where(good).select("vec_id", "label", x.alias("x")).withColumn("h1", F.xxhash64("x", "label")).withColumn("h2", F.hash("x", F.lit(7)))
-    # equal vectors are one: the least id stands for all, weighted by their number
-    unique = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x"))
-    unique = materialise(unique, "emb-unique")
+    # equal vectors are one node, weighted by their number; ids may repeat, so they name no node
+    unique = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("x").alias("x"))
+    unique = materialise(unique.withColumn("rep", F.monotonically_increasing_id()), "emb-unique")
     n = unique.count()
     n_pivots = min(MAX_PIVOTS, max(1, -(-n // (block // 2))))
-    pool = unique.select("label", "x", F.xxhash64("rep").alias("o")).orderBy("o").limit(n_pivots * SAMPLE_PER_PIVOT).collect()
+    pool = unique.select("label", "x", F.xxhash64("h1", "h2").alias("o")).orderBy("o").limit(n_pivots * SAMPLE_PER_PIVOT).collect()
     pivots: dict = {}
     for r in pool:  # bounded: at most MAX_PIVOTS * SAMPLE_PER_PIVOT rows
         pivots.setdefault((r["label"], len(r["x"])), []).append(r["x"])
@@ -302,10 +306,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     dealt = placed.mapInPandas(deal, f"label {kind}, dim int, rep long, n long, x array<double>, left string, right string, side int")
     found = materialise(dealt.groupBy("label", "dim", "left", "right").applyInPandas(compare, "rep long, links long, root long"), "emb-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(found, "rep", "root", "emb")
-    named = unique.join(counts, "rep", "left").join(groups, unique["rep"] == groups["node"], "left")
-    named = named.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = materialise(named, "emb-names")
+    groups = connected_components(found, "rep", "root", "emb").withColumnRenamed("node", "rep")
+    named = unique.join(counts, "rep", "left").join(groups, "rep", "left")
+    named = named.select("label", "h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = materialise(named, "emb-nodes")
+    least = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "emb-least")
+    named = materialise(named.join(least, "component"), "emb-names")
+    release(unique, placed, found, least)
     linked = usable.select("vec_id", "label", "h1", "h2").join(named, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

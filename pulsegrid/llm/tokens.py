@@ -27,6 +27,7 @@ LEAF = 256
 END_ID = 2
 
 _DOUBLE_SPACE = regex.compile(r"\s\s")
+#: A special token in the text is one leaf's business only if no cut can fall into it; it holds no space.
 #: Between a character that is no white space and a space there is always a pre-token
 #: boundary, whatever stands around, and a slice that ends there is encoded as in its text.
 _CUT = regex.compile(r"(?<=\S)(?= )")
@@ -46,12 +47,16 @@ def encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # the JSON form of the vocabulary finds its special tokens in texts; so does this form
+    special = {"<|endoftext|>": len(ranks)}
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     # without two white-space characters in a row the look-ahead alternative never matters, and a pattern
     # without it is matched by a faster engine
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if "<|endoftext|>" in text:
+            return np.array(whole.encode(text, allowed_special="all"), dtype=np.uint32)
         chosen = whole if _DOUBLE_SPACE.search(text) or text[-1:].isspace() else plain
         try:
             return np.frombuffer(chosen._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32)
