@@ -16,11 +16,12 @@ from ..functions import gaps, units
 from ..operators import intervals as iv
 from ..operators import scan
 from ..schema import IDENTITY, KEYS, TABLES
+from .metadata import Metadata
 
 DAY_NS = iv.DAY_NS
 
 
-class Dataset:
+class Dataset(Metadata):
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -51,12 +52,15 @@ class Dataset:
         return self.spark.read.schema(TABLES[name]).parquet(self._at(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Swap a table for ``rows``, which may read the old one: stage, then rename."""
+        """Swap a table for ``rows``, which may read the old one: stage, move the old away, rename."""
         fs, path = self._fs()
-        stage = self._at(f"_stage-{uuid.uuid4().hex}")
+        mark = uuid.uuid4().hex
+        stage, old = self._at(f"_stage-{mark}"), self._at(f"_old-{mark}")
         rows.write.parquet(stage)
-        fs.delete(path(self._at(name)), True)
+        if self.exists(name):
+            fs.rename(path(self._at(name)), path(old))  # after a crash here the rows are in _old and _stage
         fs.rename(path(stage), path(self._at(name)))
+        fs.delete(path(old), True)
 
     # -- dimensions ----------------------------------------------------------
     def insert(self, name: str, rows: list[dict]) -> list[int]:
@@ -64,7 +68,10 @@ class Dataset:
         old = self.table(name)
         key, identity = KEYS.get(name), IDENTITY.get(name)
         fields = [c.split()[0] for c in TABLES[name].split(", ")]
-        known = {tuple(r[c] for c in identity): r[key] if key else None for r in old.select(*identity, *([key] if key else [])).collect()} if identity else {}
+        known = {}
+        if identity and rows:  # only rows that may be the given ones come to the driver
+            like = old.where(F.col(identity[0]).isin(list({r.get(identity[0]) for r in rows} - {None})))
+            known = {tuple(r[c] for c in identity): r[key] if key else None for r in like.select(*identity, *([key] if key else [])).collect()}
         following = (old.agg(F.max(key)).first()[0] or 0) + 1 if key else 0
         fresh, ids = [], []
         for row in rows:
@@ -126,7 +133,7 @@ class Dataset:
             out[r["field"]] = r["value"]
         return out
 
-    def find(self, name: str, like: dict[str, str] | None = None, **equal) -> DataFrame:
+    def find(self, name: str, /, like: dict[str, str] | None = None, **equal) -> DataFrame:
         """Rows of a dimension by substrings (``like``), equal values, or lists of values."""
         out = self.table(name)
         for c, v in (like or {}).items():
@@ -146,24 +153,55 @@ class Dataset:
         """
         if "write_seq" not in samples.columns:
             samples = samples.withColumn("write_seq", F.lit(None).cast("long"))
-        newest = self.table("samples").agg(F.max("write_seq")).first()[0] if self.exists("samples") else None
-        fresh = samples.select("measure_id", "device_id", "time_n", F.col("value").cast("double").alias("value"), (F.coalesce("write_seq", F.lit(0)) + ((newest or 0) + 1)).alias("write_seq"), units.floor_div(F.col("time_n"), DAY_NS).alias("day"))
+        # writes are numbered in the settings; a row's number inside of its write takes the lower bits
+        batch = int(self.settings().get("writes", 0)) + 1
+        self.set_setting("writes", batch)
+        number = F.coalesce("write_seq", F.lit(0)) + (batch << 40)
+        fresh = samples.select("measure_id", "device_id", "time_n", F.col("value").cast("double").alias("value"), number.alias("write_seq"), units.floor_div(F.col("time_n"), DAY_NS).alias("day"))
         if on_conflict == "append":
             self._save(fresh, "append")
-            return
-        touched = fresh.select("measure_id", "day").distinct()
-        old = self.table("samples").join(touched, ["measure_id", "day"], "left_semi")
-        if on_conflict == "error":
-            if not old.join(fresh, ["measure_id", "device_id", "time_n"], "left_semi").isEmpty():
-                raise ValueError("the dataset has samples at these times")
-            self._save(fresh, "append")
-            return
-        if on_conflict not in ("last", "first"):
-            raise ValueError(f"unknown policy {on_conflict!r}")
-        self._rewrite(scan.dedup(old.unionByName(fresh), ["measure_id", "device_id"], on_conflict))
+        else:
+            span = fresh.agg(F.min("day"), F.max("day"), F.collect_set("measure_id")).first()  # a partition filter
+            if span[0] is None:
+                return
+            touched = fresh.select("measure_id", "day").distinct()
+            old = self.table("samples").where(F.col("day").between(span[0], span[1]) & F.col("measure_id").isin(span[2]))
+            old = old.join(touched, ["measure_id", "day"], "left_semi")
+            if on_conflict == "error":
+                if not old.join(fresh, ["measure_id", "device_id", "time_n"], "left_semi").isEmpty():
+                    raise ValueError("the dataset has samples at these times")
+                self._save(fresh, "append")
+            elif on_conflict in ("last", "first"):
+                self._rewrite(scan.dedup(old.unionByName(fresh), ["measure_id", "device_id"], on_conflict))
+            else:
+                raise ValueError(f"unknown policy {on_conflict!r}")
+        self.merge_intervals(self._cover(fresh))
+
+    def _cover(self, samples: DataFrame) -> DataFrame:
+        """Coverage of samples of measures whose period is known."""
+        periods = self.table("measures").where("period_ns is not null").select("measure_id", "period_ns")
+        return iv.from_samples(samples.join(periods, "measure_id"), ["measure_id", "device_id"], F.col("period_ns"), 0).select("measure_id", "device_id", "start_n", "end_n")
+
+    def insert_intervals(self, rows: DataFrame) -> None:
+        """Append coverage rows as they are."""
+        rows.select("measure_id", "device_id", "start_n", "end_n").write.mode("append").parquet(self._at("intervals"))
+
+    def replace_intervals(self, measure_id: int, device_id: int, rows: DataFrame) -> None:
+        """Put ``rows`` in the place of all coverage of one signal."""
+        mine = (F.col("measure_id") == measure_id) & (F.col("device_id") == device_id)
+        self.replace("intervals", self.table("intervals").where(~mine).unionByName(rows.select("measure_id", "device_id", "start_n", "end_n")))
+
+    def merge_intervals(self, rows: DataFrame, tolerance: int = 0) -> None:
+        """Union ``rows`` with the stored coverage of their signals; other signals stay as they are."""
+        keys = ["measure_id", "device_id"]
+        stored, signals = self.table("intervals"), rows.select(*keys).distinct()
+        merged = iv.union(stored.join(signals, keys, "left_semi").unionByName(rows), keys, tolerance)
+        self.replace("intervals", stored.join(signals, keys, "left_anti").unionByName(merged.select(*keys, "start_n", "end_n")))
 
     def _save(self, rows: DataFrame, mode: str) -> None:
-        out = rows.repartition("measure_id", "day").sortWithinPartitions("measure_id", "day", "device_id", "time_n")
+        # by range, so that a day with many devices is many files and each file's statistics are narrow
+        order = ["measure_id", "day", "device_id", "time_n"]
+        out = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("measure_id", "day").parquet(self._at("samples"))
 
     def _rewrite(self, rows: DataFrame) -> None:
@@ -197,6 +235,45 @@ class Dataset:
         self.replace("intervals", rows)
         return self.table("intervals")
 
+    def transfer(self, to: Dataset, device_ids: list[int] | None = None, measure_ids: list[int] | None = None, start_n: int | None = None, end_n: int | None = None, shift_n: int = 0, hide: dict[str, object] | None = None, labels: bool = True) -> None:
+        """Copy samples, measures, devices, patients, mappings and labels, with ids of ``to``'s own.
+
+        ``shift_n`` moves all times back; ``hide`` gives columns of patients fixed values (None: left out).
+        Dimensions are small and go through ``insert``, which knows rows that are there already.
+        """
+        only = lambda name, column, values: self.table(name) if values is None else self.table(name).where(F.col(column).isin(list(values)))
+        inside = lambda rows, a, b: rows.where(F.lit(True) if end_n is None else F.col(a) < end_n).where(F.lit(True) if start_n is None else F.coalesce(F.col(b) >= start_n, F.lit(True)))
+        moved = lambda v: None if v is None else v - shift_n
+
+        def copy(name: str, rows: DataFrame, change=lambda d: d) -> dict[int, int]:
+            key = KEYS[name]
+            found = [r.asDict() for r in rows.orderBy(key).collect()]
+            ids = to.insert(name, [change({c: v for c, v in d.items() if c != key}) for d in found])
+            return dict(zip([d[key] for d in found], ids, strict=True))
+
+        m = copy("measures", only("measures", "measure_id", measure_ids))
+        d = copy("devices", only("devices", "device_id", device_ids))
+        mapping = inside(only("device_patient", "device_id", device_ids), "start_n", "end_n")
+        chosen = self.table("patients").join(mapping.select("patient_id").distinct(), "patient_id", "left_semi")
+        p = copy("patients", chosen, lambda x: {**x, **(hide or {}), "dob": moved(x["dob"]) if "dob" not in (hide or {}) else hide["dob"]})
+        copy("device_patient", mapping, lambda x: dict(device_id=d[x["device_id"]], patient_id=p[x["patient_id"]], start_n=moved(x["start_n"]), end_n=moved(x["end_n"])))
+        copy("patient_history", self.table("patient_history").where(F.col("patient_id").isin(list(p))), lambda x: {**x, "patient_id": p[x["patient_id"]], "time_n": moved(x["time_n"])})
+        if labels:
+            s = {None: None}
+            rest = {r["label_set_id"]: r.asDict() for r in self.table("label_sets").collect()}
+            while ready := [k for k, r in rest.items() if r["parent_id"] in s or r["parent_id"] not in rest]:  # parents first
+                for k, i in zip(ready, to.insert("label_sets", [dict(name=rest[k]["name"], parent_id=s.get(rest[k]["parent_id"])) for k in ready]), strict=True):
+                    s[k] = i
+                    del rest[k]
+            o = {None: None} | copy("label_sources", self.table("label_sources"))
+            copy("labels", inside(only("labels", "device_id", device_ids), "start_n", "end_n"), lambda x: dict(label_set_id=s[x["label_set_id"]], device_id=d[x["device_id"]], measure_id=m.get(x["measure_id"]), label_source_id=o[x["label_source_id"]], start_n=moved(x["start_n"]), end_n=moved(x["end_n"])))
+        rows = self.table("samples").where(F.col("measure_id").isin(list(m)) & F.col("device_id").isin(list(d)))
+        rows = rows if start_n is None else rows.where(F.col("time_n") >= start_n)
+        rows = rows if end_n is None else rows.where(F.col("time_n") < end_n)
+        number = lambda ids, c: F.element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col(c)).alias(c)
+        if m and d:
+            to.write(rows.select(number(m, "measure_id"), number(d, "device_id"), (F.col("time_n") - shift_n).alias("time_n"), "value"))
+
     def unreferenced(self, name: str, key: str, by: str) -> DataFrame:
         return self.table(name).join(self.table(by).select(key).where(F.col(key).isNotNull()), key, "left_anti")
 
