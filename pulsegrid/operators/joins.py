@@ -59,6 +59,16 @@ def mapping_range(mapping: DataFrame, start_n: int, end_n: int) -> DataFrame:
     return mapping.where((F.col("end_n").isNull() | (F.col("end_n") > start_n)) & (F.col("start_n") < end_n))
 
 
+def group_ranges(mapping: DataFrame) -> DataFrame:
+    """device_id, patient_id, ranges: the ranges of each pair in order of their starts."""
+    return mapping.groupBy("device_id", "patient_id").agg(F.sort_array(F.collect_list(F.struct("start_n", "end_n"))).alias("ranges"))
+
+
+def by_first_start(ranges: DataFrame, key: str) -> DataFrame:
+    """Sources in the order of their first range's start: key, first_n."""
+    return ranges.groupBy(key).agg(F.min("start_n").alias("first_n")).orderBy("first_n", key)
+
+
 def mapping_at(mapping: DataFrame, time_n: int) -> DataFrame:
     return mapping.where((F.col("start_n") <= time_n) & (F.col("end_n").isNull() | (F.col("end_n") > time_n)))
 

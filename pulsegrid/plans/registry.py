@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import gaps, units, values
+from ..functions import gaps, messages, units, values
 from ..operators import aggregates, joins, labels, scan, windows
 from ..operators import intervals as iv
 from ..sources import blocks, files
@@ -101,18 +101,6 @@ def analog_scaling(c):
     return r.select("write_seq", F.round(values.analog(F.col("value_raw"), F.col("scale_m"), F.col("scale_b")), 6).alias("value"))
 
 
-@query(
-    _with(
-        "samples",
-        f"""+ k as (select distinct measure_id, device_id from samples where device_id < 5), spine as (select measure_id, device_id, unnest(range({7 * 24}))::bigint as slot from k),
-    h as (select measure_id, device_id, round_even((time_n - {A_N})::decimal(38, 6) / {HOUR_NS}, 0)::bigint as slot, arg_max(value, (time_n, write_seq)) as value from samples where device_id < 5 and time_n >= {A_N} and time_n < {B_N} group by 1, 2, 3)
-    select measure_id, device_id, slot, {A_N} + slot * {HOUR_NS} as time_n, value from spine left join h using (measure_id, device_id, slot)""",
-    )
-)
-def nan_fill_grid(c):
-    return scan.fill(c.samples.where("device_id < 5"), KEYS, A_N, B_N, HOUR_NS)
-
-
 @query(
     _with(
         "samples",
@@ -121,7 +109,7 @@ def nan_fill_grid(c):
     select measure_id, device_id, slot, {A_N} + slot * {HOUR_NS} as time_n, value from spine left join h using (measure_id, device_id, slot)""",
     )
 )
-def nan_fill_grid_all(c):
+def nan_fill_grid(c):
     return scan.fill(c.samples, KEYS, A_N, B_N, HOUR_NS)
 
 
@@ -570,21 +558,14 @@ def dedup_last_wins(c):
     return scan.dedup(_twice(c), KEYS, "last")
 
 
-@query(_with("samples", "+ n as (select measure_id, device_id, time_n, value * 2 as value from samples where write_seq % 4 = 0) select measure_id, device_id, time_n, value from n union all select s.measure_id, s.device_id, s.time_n, s.value from samples s where not exists (select 1 from n where n.measure_id = s.measure_id and n.device_id = s.device_id and n.time_n = s.time_n)"))
+@query(_with("samples", "+ n as (select measure_id, device_id, time_n, value * 2 as value from samples where tag = 'error') select measure_id, device_id, time_n, value from n union all select s.measure_id, s.device_id, s.time_n, s.value from samples s where not exists (select 1 from n where n.measure_id = s.measure_id and n.device_id = s.device_id and n.time_n = s.time_n)"))
 def overwrite_merge(c):
-    old = c.samples.select(*KEYS, "time_n", "value")
-    new = c.samples.where("write_seq % 4 = 0").select(*KEYS, "time_n", (F.col("value") * 2).alias("value"))
-    return old.join(new, [*KEYS, "time_n"], "left_anti").unionByName(new)
-
-
-@query("select o_orderkey from orders where o_orderkey % 7 = 0 and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)")
-def vacuum_anti(c):
-    used = c.table("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return c.table("orders").where("o_orderkey % 7 = 0").join(used, "o_orderkey", "left_anti").select("o_orderkey")
+    new = c.samples.where("tag = 'error'").select(*KEYS, "time_n", (F.col("value") * 2).alias("value"))
+    return messages.merge_samples(c.samples, new, KEYS)
 
 
 @query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)")
-def vacuum_anti_all(c):
+def vacuum_anti(c):
     used = c.table("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return c.table("orders").join(used, "o_orderkey", "left_anti").select("o_orderkey")
 
@@ -695,11 +676,17 @@ def stream_sessions(c):
     return ingest.sessions(ingest.prepared(c.samples, ingest.WindowConfig()), "12 hours")
 
 
+def _more() -> None:
+    from . import registry_more  # noqa: F401  (adds its queries here)
+
+
 def queries() -> dict:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)
 
 

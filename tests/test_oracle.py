@@ -36,7 +36,7 @@ def test_entry(spark):
 
 def test_whole_tables(spark):
     events, orders = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("events", "orders"))
-    grid = registry.queries()["nan_fill_grid_all"](spark, DATA)
+    grid = registry.queries()["nan_fill_grid"](spark, DATA)
     assert grid.count() == 7 * 24 * events.select("event_type", "user_id").distinct().count()
     used = {r["l_orderkey"] for r in spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_quantity > 45").collect()}
-    assert {r["o_orderkey"] for r in registry.queries()["vacuum_anti_all"](spark, DATA).collect()} == {r["o_orderkey"] for r in orders.collect()} - used
+    assert {r["o_orderkey"] for r in registry.queries()["vacuum_anti"](spark, DATA).collect()} == {r["o_orderkey"] for r in orders.collect()} - used
