@@ -69,7 +69,7 @@ CELLS = f"cells as (select measure_id, device_id, time_n as start_n, time_n + {H
 # -- scans ------------------------------------------------------------------
 @query(_with("samples", f"select measure_id, device_id, time_n, value from samples where measure_id = 5 and device_id = 3 and time_n >= {A_N} and time_n < {B_N}"))
 def range_scan_device(c):
-    return scan.range_scan(c.samples, 5, A_N, B_N, device_id=3, sort=False).select("measure_id", "device_id", "time_n", "value")
+    return scan.range_scan(c.samples_of(5, A_N, B_N), 5, A_N, B_N, device_id=3, sort=False).select("measure_id", "device_id", "time_n", "value")
 
 
 @query(_with("samples mapping", f"select measure_id, s.device_id, time_n, value from samples s join mapping m on m.device_id = s.device_id where m.patient_id = 301 and time_n >= greatest(m.start_n, {A_N}) and time_n < least(coalesce(m.end_n, {NOW_N}), {NOW_N})"))

@@ -238,3 +238,46 @@ def mapping_grouped(c):
 
     rows = joins.group_ranges(joins.mapping_range(c.mapping, A_N, B_N))
     return rows.select("device_id", "patient_id", F.get("ranges", F.lit(0))["start_n"].alias("first_n"), F.size("ranges").cast("long").alias("n_ranges"))
+
+
+# -- windows over all measures -----------------------------------------------------
+_DUR, _SLIDE = 6 * HOUR_NS, 3 * HOUR_NS
+_ALL = f"{CELLS}, u as (select device_id, start_n, end_n from cells), {islands('u', 'device_id')}, w as (select device_id, start_n, end_n, s as window_start_n, s + {_DUR} as window_end_n from (select *, unnest(range(start_n, end_n, {_SLIDE})) as s from isl))"
+_CELL = f"x as (select w.device_id, window_start_n, s.measure_id, round_even((time_n - window_start_n)::decimal(38, 6) / {HOUR_NS}, 0)::bigint as slot, arg_max(value, time_n) as value from w join samples s on s.device_id = w.device_id and time_n >= window_start_n and time_n < least(window_end_n, end_n) group by 1, 2, 3, 4)"
+
+
+def _ranges(c):
+    from ..operators import intervals as iv
+
+    return iv.from_samples(c.samples, ["device_id"], F.lit(HOUR_NS), 0).select("device_id", F.lit(None).cast("long").alias("patient_id"), "start_n", "end_n")
+
+
+@query(_with("samples", f"+ {_ALL}, {_CELL} select * from x where slot < 6"))
+def window_slots(c):
+    """Slots of every measure in every window of all sources, in one join."""
+    from ..operators import windows
+    from . import iterator
+
+    wins = windows.enumerate_windows(_ranges(c), _DUR, _SLIDE)
+    return iterator.window_slots(wins, c.samples, c.measures, ["device_id"])
+
+
+@query(_with("samples", f"+ {_ALL}, {_CELL}, n as (select device_id, window_start_n, count(*) as n, count(distinct measure_id) as k, sum(value) as s from x where slot < 6 group by 1, 2) select w.device_id, w.window_start_n, 30::bigint as expected, coalesce(n, 0)::bigint as actual, coalesce(k, 0)::bigint as n_measures, round(coalesce(s, 0), 6) as total from w left join n using (device_id, window_start_n) where coalesce(n, 0) >= 2"))
+def definition_windows(c):
+    """The iterator's windows with two samples or more, their nested signals summed up again."""
+    from . import iterator
+
+    rows = iterator.windows_of(_ranges(c), c.samples, c.measures, _DUR, _SLIDE, keep=F.aggregate("signals", F.lit(0).cast("long"), lambda a, x: a + x["actual_count"]) >= 2)
+    add = lambda f: F.aggregate("signals", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    total = F.aggregate(F.flatten(F.transform("signals", lambda x: F.filter(x["values"], lambda v: ~F.isnan(v)))), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("device_id", "window_start_n", add(lambda x: x["expected_count"]).alias("expected"), add(lambda x: x["actual_count"]).alias("actual"), add(lambda x: (x["actual_count"] > 0).cast("long")).alias("n_measures"), F.round(total, 6).alias("total"))
+
+
+@query(_with("samples mapping", f"+ a as (select device_id, patient_id, start_n, coalesce(end_n, {B_N + 400 * DAY_NS}) as end_n from mapping), b as (select device_id, patient_id, start_n - {DAY_NS} as start_n, start_n + {DAY_NS} as end_n from mapping), z as (select * from a union all select * from b), {islands('z', 'device_id, patient_id')} select * from isl"))
+def combine_validated(c):
+    from . import iterator
+
+    m = c.mapping
+    a = m.withColumn("end_n", F.coalesce("end_n", F.lit(B_N + 400 * DAY_NS)))
+    b = m.withColumn("end_n", F.col("start_n") + DAY_NS).withColumn("start_n", F.col("start_n") - DAY_NS)
+    return iterator.combine_validated(a, b)

@@ -30,7 +30,16 @@ class Canonical:
 
     @property
     def samples(self) -> DataFrame:
+        return self._samples(self.table("events"))
+
+    def samples_of(self, measure_id: int, start_n: int, end_n: int) -> DataFrame:
+        """Samples of a measure in [start_n, end_n); the bounds are also put on the stored columns, for the scan to use."""
         e = self.table("events")
+        at = lambda n: F.timestamp_micros(F.lit(-(-n // 1000))).cast(e.schema["ts"].dataType)
+        stored = e.where((F.col("event_type") == MEASURES[measure_id - 1]) & (F.col("ts") >= at(start_n)) & (F.col("ts") < at(end_n)))
+        return self._samples(stored)
+
+    def _samples(self, e: DataFrame) -> DataFrame:
         number = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(MEASURES) for x in (m, i + 1)]), F.col("event_type")).cast("long")
         return e.select(number.alias("measure_id"), F.col("user_id").alias("device_id"), _ns("ts").alias("time_n"), "value", F.col("event_id").alias("write_seq"), F.col("event_type").alias("tag"))
 
