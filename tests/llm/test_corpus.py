@@ -2,6 +2,7 @@ import collections
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import pytest
@@ -443,6 +444,17 @@ def test_lines_of_repeated_rows_and_ids(spark, docs):
     assert len(got) == 4 and {r["doc_id"] for r in got} == {None, "id-5"}
 
 
+def test_rarity_table_stays_small_on_the_driver(spark, docs):
+    df = docs([(i, " ".join(f"v{i}x{j}" for j in range(10_000))) for i in range(30)])
+    tracemalloc.start()
+    levels = lines.rarity_levels(df)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(1 for level in levels if level) > 150_000 and held < 16 << 20
+    plan = lines._sets(df, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 1_200_000  # one table of 2**18 small numbers, and the rest
+
+
 # -- WARC -------------------------------------------------------------------
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, "http://b/", "same"), (3, None, "same"), (9, "http://c/ x", "same"), (4, "u", None), (5, "u", ""), (6, "u", "y" * 200_000), (None, "n", "none"), (7, "u", "dup"), (7, "u", "dup")]
