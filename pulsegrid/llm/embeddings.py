@@ -4,9 +4,10 @@ Vectors of one label are compared on the unit sphere, where cosine >= c means
 distance <= sqrt(2 - 2c). Each label's vectors are dealt to cells around pivots,
 chosen from a bounded sample (at most ``MAX_PIVOTS`` in all), and cells larger than
 ``BLOCK`` are dealt on into blocks. A cell's covering radius is a partial maximum.
-Two cells are compared only if their centres are no farther apart than both radii and
-the threshold together; blocks of surviving pairs meet in tasks of bounded size. In
-a task each block is a cover tree (nested levels, halving radii), and pairs of nodes
+A vector is a guest of each lesser cell that can hold a vector near it, by that cell's radius
+and by the plane between the two pivots; blocks of a cell's own vectors meet each other and
+blocks of guests in tasks of bounded size. Lists of guests and tasks hold ids and stay on the cluster; vectors are
+joined to them last. In a task each block is a cover tree (nested levels, halving radii), and pairs of nodes
 are pruned by the same bound down to single vectors, which are compared exactly.
 
 Equal vectors are one from the start, and a task reports a count of links and one
@@ -30,6 +31,8 @@ BLOCK = 1500
 MAX_PIVOTS = 4096
 SAMPLE_PER_PIVOT = 4
 _SLACK = 1e-6
+#: Numbers in one matrix of a Python worker.
+_MATRIX = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -200,6 +203,41 @@ def link_block(own: np.ndarray, other: np.ndarray | None, weights: np.ndarray, c
     return counts, root
 
 
+def _rows(pdf: pd.DataFrame, index=slice(None)) -> np.ndarray:
+    return np.array(pdf["x"].iloc[index].tolist(), dtype=np.float64)
+
+
+def _by_net(pdf: pd.DataFrame, dims: np.ndarray):
+    """((label, length of the vectors), rows) of a batch."""
+    return pdf.groupby([pdf["label"].to_numpy(), dims]).indices.items()
+
+
+def homes(x: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector and the distance to it."""
+    cells, gaps, step = np.zeros(len(x), dtype=np.int64), np.zeros(len(x)), max(1, _MATRIX // len(net))
+    for at in range(0, len(x), step):
+        dot = _unit(x[at : at + step]) @ net.T
+        cells[at : at + step], gaps[at : at + step] = dot.argmax(axis=1), np.sqrt(np.maximum(0, 2 - 2 * dot.max(axis=1)))
+    return cells, gaps
+
+
+def visits(x: np.ndarray, home: np.ndarray, net: np.ndarray, radii: np.ndarray, reach: float):
+    """Yield (row, cell): the lesser cells that may hold a vector within ``reach`` of the row's.
+
+    Such a cell's radius comes within reach, and so does the plane half way between its pivot and the row's own.
+    """
+    step = max(1, _MATRIX // len(net))
+    wide = np.sqrt(np.maximum(0, 2 - 2 * (net @ net.T)))
+    for at in range(0, len(x), step):
+        unit, own = _unit(x[at : at + step]), home[at : at + step]
+        dot = unit @ net.T
+        over = dot[np.arange(len(own)), own][:, None] - dot
+        near = (np.arange(len(net)) < own[:, None]) & (radii >= 0) & (over <= (reach + _SLACK) * wide[own] + 1e-9)
+        near &= np.sqrt(np.maximum(0, 2 - 2 * dot)) <= radii + reach + _SLACK
+        row, cell = np.nonzero(near)
+        yield row + at, cell
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 
@@ -215,7 +253,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
     usable = vectors.where(good).select("vec_id", "label", x.alias("x")).withColumn("h1", F.xxhash64("x", "label")).withColumn("h2", F.hash("x", F.lit(7)))
     # equal vectors are one node, weighted by their number; ids may repeat, so they name no node
-    unique = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("x").alias("x"))
+    # (floats stay floats where vectors are stored and sent; arithmetic is in double)
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    unique = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("x").cast("array<float>" if narrow else "array<double>").alias("x"))
     unique = materialise(unique.withColumn("rep", F.monotonically_increasing_id()), "emb-unique")
     n = unique.count()
     n_pivots = min(MAX_PIVOTS, max(1, -(-n // (block // 2))))
@@ -225,86 +265,74 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         pivots.setdefault((r["label"], len(r["x"])), []).append(r["x"])
     chosen = {}
     for key, found in pivots.items():
-        unit = _unit(np.array(found))
+        unit = _unit(np.array(found, dtype=np.float64))
         want, picks = max(1, round(len(found) / SAMPLE_PER_PIVOT)), [0]
         gap = 1 - unit @ unit[0]
         while len(picks) < want and gap.max() > 1e-9:  # farthest first: pivots are a net
             picks.append(int(gap.argmax()))
             gap = np.minimum(gap, 1 - unit @ unit[picks[-1]])
         chosen[key] = unit[picks]
-    shared = spark.sparkContext.broadcast(chosen)
+    nets = spark.sparkContext.broadcast(chosen)
 
     def place(batches):
         for pdf in batches:
-            cells, gaps = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
+            cells, gaps = np.full(len(pdf), -1, dtype=np.int64), np.zeros(len(pdf))
             dims = pdf["x"].map(len).to_numpy()
-            for (label, dim), index in pdf.groupby([pdf["label"].to_numpy(), dims]).indices.items():
-                net = shared.value.get((label, dim))
-                if net is None:
-                    gaps[index] = 2.0  # a label the sample missed: one cell that is near everything
-                    continue
-                unit = _unit(np.array(pdf["x"].iloc[index].tolist()))
-                dot = unit @ net.T
-                cells[index] = dot.argmax(axis=1)
-                gaps[index] = np.sqrt(np.maximum(0, 2 - 2 * dot.max(axis=1)))
+            for key, index in _by_net(pdf, dims):
+                net = nets.value.get(key)
+                if net is not None:  # else a label that the sample missed: one cell without guests
+                    cells[index], gaps[index] = homes(_rows(pdf, index), net)
             yield pdf.assign(dim=dims.astype(np.int32), cell=cells, gap=gaps)[["label", "dim", "cell", "gap", "rep", "n", "x"]]
 
-    kind = unique.schema["label"].dataType.simpleString()
-    placed = materialise(unique.select("label", "rep", "n", "x").mapInPandas(place, f"label {kind}, dim int, cell long, gap double, rep long, n long, x array<double>"), "emb-cells")
-    stats = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius"))
-    seen = [r.asDict() for r in stats.collect()]  # cells: bounded by pivots and labels
-    by_group: dict = {}
-    for r in seen:
-        by_group.setdefault((r["label"], r["dim"]), []).append((r["cell"], -(-r["rows"] // block), r["radius"]))
-    tasks: dict = {}
+    kind, items = unique.schema["label"].dataType.simpleString(), unique.schema["x"].dataType.simpleString()
+    placed = materialise(unique.select("label", "rep", "n", "x").mapInPandas(place, f"label {kind}, dim int, cell long, gap double, rep long, n long, x {items}"), "emb-cells")
+    radii: dict = {key: np.full(len(net), -1.0) for key, net in chosen.items()}
+    for r in placed.where("cell >= 0").groupBy("label", "dim", "cell").agg(F.max("gap").alias("radius")).collect():  # at most MAX_PIVOTS * SAMPLE_PER_PIVOT cells
+        radii[(r["label"], r["dim"])][r["cell"]] = r["radius"]
+    covers = spark.sparkContext.broadcast(radii)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    for key, cells in by_group.items():
-        net = chosen.get(key)
-        for c, parts, radius in cells:
-            near = []
-            for c2, parts2, radius2 in cells:
-                gap = 0.0 if net is None or c == c2 else math.sqrt(max(0.0, 2 - 2 * float(net[c] @ net[c2])))
-                if gap <= radius + radius2 + reach + _SLACK:
-                    near.append((c2, parts2))
-            tasks[(*key, c)] = (parts, near)
-    plan = spark.sparkContext.broadcast(tasks)
-
-    def deal(batches):
+
+    def visit(batches):
         for pdf in batches:
-            source, left, right, side = [], [], [], []
-            for k, (label, dim, cell, rep) in enumerate(zip(pdf["label"], pdf["dim"], pdf["cell"], pdf["rep"], strict=True)):
-                parts, near = plan.value[(label, dim, cell)]
-                own = (cell, (rep * 2654435761 >> 7) % parts)
-                for c2, parts2 in near:
-                    for p2 in range(parts2):
-                        there = (c2, p2)
-                        low, high = (own, there) if own <= there else (there, own)
-                        source.append(k)
-                        left.append(f"{low[0]}.{low[1]}")
-                        right.append(f"{high[0]}.{high[1]}")
-                        side.append(0 if own == low else 1)
-            out = pdf.iloc[source][["label", "dim", "rep", "n", "x"]].reset_index(drop=True)
-            yield out.assign(left=left, right=right, side=side)
+            for key, index in _by_net(pdf, pdf["dim"].to_numpy()):
+                net = nets.value.get(key)
+                if net is None:
+                    continue
+                home, rep = pdf["cell"].to_numpy()[index], pdf["rep"].to_numpy()[index]
+                for at in range(0, len(index), 1024):
+                    part = index[at : at + 1024]
+                    for row, cell in visits(_rows(pdf, part), home[at : at + 1024], net, covers.value[key], reach):
+                        yield pd.DataFrame({"label": pdf["label"].iloc[part[row]].to_numpy(), "dim": np.int32(key[1]), "cell": cell, "rep": rep[at + row]})
+
+    cell = ["label", "dim", "cell"]
+    guests = materialise(placed.select(*cell, "rep", "x").mapInPandas(visit, f"label {kind}, dim int, cell long, rep long"), "emb-guests")
+    parts = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / block).cast("int")
+    sizes = placed.groupBy(*cell).agg(F.count("*").alias("h")).join(guests.groupBy(*cell).agg(F.count("*").alias("g")), cell, "left")
+    sizes = materialise(sizes.select(*cell, parts(F.col("h")).alias("hp"), parts(F.col("g")).alias("gp")), "emb-sizes")
+    # tasks of a cell: i and j are blocks of its own vectors, or j = -1 - k is block k of its guests; ids travel, vectors follow
+    own, none = F.pmod(F.xxhash64("rep"), "hp").cast("int"), F.array().cast("array<struct<i:int,j:int,side:int>>")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    among = F.transform(F.filter(F.sequence(F.lit(0), F.col("hp") - 1), lambda o: o != F.col("b")), lambda o: task(F.least(o, "b"), F.greatest(o, "b"), o < F.col("b")))
+    host = F.when(F.col("gp") > 0, F.transform(F.sequence(F.lit(-1), -F.greatest("gp", F.lit(1))), lambda j: task(F.col("b"), j, F.lit(0)))).otherwise(F.array(task(F.col("b"), F.col("b"), F.lit(0))))
+    guest = F.when(F.col("hp") > 0, F.transform(F.sequence(F.lit(0), F.greatest("hp", F.lit(1)) - 1), lambda i: task(i, -1 - F.col("b"), F.lit(1)))).otherwise(none)
+    at_home = placed.select(*cell, "rep").join(sizes, cell).withColumn("b", own).select(*cell, "rep", F.explode(F.concat(among, host)).alias("t"))
+    abroad = guests.join(sizes, cell).withColumn("b", F.pmod(F.xxhash64("rep"), "gp").cast("int")).select(*cell, "rep", F.explode(guest).alias("t"))
+    dealt = materialise(at_home.unionByName(abroad).select(*cell, "rep", "t.*"), "emb-dealt")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep").drop_duplicates("rep")
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if pdf["left"].iloc[0] == pdf["right"].iloc[0]:
-            a, b = pdf, pdf.iloc[:0]
-        both = pd.concat([a, b])
-        empty = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        same = pdf["left"].iloc[0] == pdf["right"].iloc[0]
-        if not len(a) or (not same and not len(b)):
-            return empty
-        own = np.array(a["x"].tolist())
-        other = None if same else np.array(b["x"].tolist())
-        counts, root = link_block(own, other, both["n"].to_numpy(), cosine)
-        linked = counts > 0
-        ids = both["rep"].to_numpy()
-        return pd.DataFrame({"rep": ids[linked], "links": counts[linked], "root": ids[root[linked]]})
-
-    dealt = placed.mapInPandas(deal, f"label {kind}, dim int, rep long, n long, x array<double>, left string, right string, side int")
-    found = materialise(dealt.groupBy("label", "dim", "left", "right").applyInPandas(compare, "rep long, links long, root long"), "emb-links")
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = pdf[pdf["side"] == 0].sort_values("rep"), pdf[pdf["side"] == 1].sort_values("rep")
+        out = [pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})]
+        # a block meets itself beside the first block of guests
+        for both, other in ([(a, None)] if j in (i, -1) and len(a) > 1 else []) + ([(pd.concat([a, b]), b)] if len(a) and len(b) else []):
+            counts, root = link_block(_rows(a), None if other is None else _rows(b), both["n"].to_numpy(), cosine)
+            linked, ids = counts > 0, both["rep"].to_numpy()
+            out.append(pd.DataFrame({"rep": ids[linked], "links": counts[linked], "root": ids[root[linked]]}))
+        return pd.concat(out)
+
+    met = dealt.join(placed.select("rep", "n", "x"), "rep").groupBy(*cell, "i", "j")
+    found = materialise(met.applyInPandas(compare, "rep long, links long, root long"), "emb-links")
+    release(guests, sizes, dealt)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found, "rep", "root", "emb").withColumnRenamed("node", "rep")
     named = unique.join(counts, "rep", "left").join(groups, "rep", "left")

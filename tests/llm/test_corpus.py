@@ -5,6 +5,7 @@ import re
 import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from oracle import connect, rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
@@ -114,6 +115,37 @@ def test_embeddings_match_brute_force(spark):
     assert check_embeddings(spark, rows, 0.98, block=20)
 
 
+def test_guests_cover_all_pairs_and_few_cells():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    x[500:] = x[:500].repeat(2, axis=0) + rng.normal(scale=0.1, size=(1000, 64))
+    net = embeddings._unit(x[:60])
+    home, gap = embeddings.homes(x, net)
+    radii = np.array([max(gap[home == c], default=-1.0) for c in range(60)])
+    parts = list(embeddings.visits(x, home, net, radii, 0.2))
+    found = {(int(r), int(c)) for rows, cells in parts for r, c in zip(rows, cells, strict=True)}
+    unit = embeddings._unit(x)
+    near = [(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.98), strict=True) if home[a] > home[b]]
+    assert near and all((a, home[b]) in found for a, b in near)
+    assert len(found) < 20 * len(x)  # all lesser cells would be 30 a vector
+
+
+def test_embeddings_send_ids_not_vectors(spark, monkeypatch):
+    written = {}
+
+    def record(df, name, real=embeddings.materialise):
+        out = real(df, name)
+        written[name] = (df.columns, out.count())
+        return out
+
+    monkeypatch.setattr(embeddings, "materialise", record)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist(), 1) for i in range(600)]
+    check_embeddings(spark, rows, 0.98, block=40)
+    columns, n = written["emb-dealt"]
+    assert "x" not in columns and n < 20 * len(rows)  # 30 cells: cell against cell took all of them, 30 a vector
+
+
 def test_embeddings_edge_cases(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (8, [1.0, 0.0, 0.0], 1), (9, [float("inf"), 0.0], 1), (10, [], 1)]
     check_embeddings(spark, rows, 0.98)
