@@ -7,8 +7,9 @@ with their edit distance, order included. Texts that share a sketch are candidat
 they are linked if a banded alignment matches at least 0.8 of the longer one's words.
 
 Exact copies are one text from the start. Texts of up to ``SHORT`` words have few shingles; they also get
-keys by an exact prefix filter on their words. Inside the bucket of a sketch each text is
-first compared with the bucket's least and greatest member, which settles most of it.
+keys by an exact prefix filter on their words. The first ``ROUNDS`` sketches are tried alone: each text
+meets one end of its bucket, which settles most of a large group with a pair or two a text. Then in each bucket that
+spans components every text is compared with the bucket's least and greatest member, if in another component.
 Then every pair of a bucket's members that are not in one component by now and were
 not tried is a candidate too, unless counts of hashed words prove it below the
 threshold. Links are not transitive, so no member leaves a bucket before that.
@@ -17,6 +18,7 @@ threshold. Links are not transitive, so no member leaves a bucket before that.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +36,8 @@ SIMILARITY = 0.8
 SHORT = 24
 #: Ids of candidate texts are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_IDS = 400_000
+#: Sketches that are tried alone before all buckets; they only save pairs.
+ROUNDS = 2
 _CHUNK = 2 << 20
 #: Members of a bucket that meet in one group, and hash bins of the word counts.
 BLOCK = 256
@@ -245,20 +249,26 @@ def _histograms(texts: DataFrame) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, "tid binary, histogram binary")
 
 
-def _untried(opened: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """tid, text of the texts that ids(tid) names."""
+    ids = materialise(ids.distinct(), "nd-ids")
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(text_id().alias("tid"), "text").join(chosen, "tid", "left_semi").dropDuplicates(["tid"])
+
+
+def _untried(opened: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of all members of a bucket in different components that can be similar.
 
     opened(key, tid, n_words, n, component). A bucket is dealt to blocks of about ``BLOCK``
     members and each pair of blocks is one group, so no task holds a bucket whole. Two texts match
     at most as many words as their histograms share, so pairs below the need are no loss.
     """
-    some = materialise(opened.select("tid").distinct(), "nd-some")
-    histograms = materialise(_histograms(texts.join(some, "tid", "left_semi")), "nd-histograms")
+    histograms = materialise(_histograms(_texts(docs, opened.select("tid"))), "nd-histograms")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = opened.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "n_words", "component")
     cells = materialise(dealt.join(histograms, "tid"), "nd-cells")
-    release(some, histograms)
+    release(histograms)
 
     def meet(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("n_words").combine_chunks()
@@ -297,37 +307,61 @@ def _grouped(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE,
     rows = materialise(_sketched(docs, sketches, shingle, least), "nd-sketches")
     usable = rows.where("doc_id is not null and tid is not null")
     unique = materialise(usable.groupBy("tid").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys")), "nd-unique")
-    members = materialise(unique.where("n_words > 0").select("tid", "n_words", F.explode("keys").alias("key")), "nd-keys")
-    node = F.struct("n_words", "tid")
-    leaders = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("n > 1"), "nd-leaders")
+    words, groups, tried = unique.where("n_words > 0"), None, None
+    end = F.struct("n_words", "tid", "component")
+    spans = [F.count("*").alias("n"), F.min(end).alias("lo"), F.max(end).alias("hi"), F.min("component").alias("l"), F.max("component").alias("h")]
+
+    def placed(texts: DataFrame) -> DataFrame:
+        """``texts`` with the component that each is in by now."""
+        if groups is None:
+            return texts.withColumn("component", F.col("tid"))
+        return texts.join(groups.withColumnRenamed("node", "tid"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+
+    def untried(members: DataFrame, *ends: str) -> DataFrame:
+        """Pairs (a, b) of members and ends of their buckets that no link connects so far."""
+        found = []
+        for e in map(F.col, ends):
+            fits = F.least(e["n_words"], F.col("n_words")) >= least * F.greatest(e["n_words"], F.col("n_words"))
+            found.append(members.where((F.col("component") != e["component"]) & fits).select(F.least(e["tid"], F.col("tid")).alias("a"), F.greatest(e["tid"], F.col("tid")).alias("b")))
+        pairs = reduce(DataFrame.unionByName, found).distinct()
+        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal groups, tried
+        pairs = materialise(pairs, "nd-pairs")
+        if pairs.isEmpty():
+            return release(pairs)
+        texts = materialise(_texts(docs, pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid")))), "nd-texts")
+        links = materialise(_verified(pairs, texts, least), "nd-links")
+        if not links.isEmpty():
+            known = links if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+            groups = connected_components(known, "a", "b", "nd")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        release(texts, links)
+
+    # a few sketches alone settle most of a large group, with one pair a text
+    for k in range(min(ROUNDS, sketches)):
+        members = materialise(placed(words.select("tid", "n_words", F.get("keys", F.lit(k)).alias("key"))), "nd-members")
+        leaders = materialise(members.groupBy("key").agg(*spans).where("l < h").select("key", "lo", "hi"), "nd-leaders")
+        link(untried(members.join(leaders, "key"), "hi" if k % 2 else "lo"))
+        release(members, leaders)
+    # of all buckets those that still span components are open
+    members = materialise(placed(words.select("tid", "n_words", "keys")).select("tid", "n_words", "component", F.explode("keys").alias("key")), "nd-keys")
+    leaders = materialise(members.groupBy("key").agg(*spans).where("l < h").select("key", "n", "lo", "hi"), "nd-leaders")
     bucketed = materialise(members.join(leaders, "key").distinct(), "nd-buckets")
     release(members, leaders)
-    ids = materialise(bucketed.select("tid").distinct(), "nd-ids")
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(docs.select(text_id().alias("tid"), "text").join(chosen, "tid", "left_semi").dropDuplicates(["tid"]), "nd-texts")
-
-    def pair(end: str) -> DataFrame:
-        other = F.col(end)
-        fits = F.least(other["n_words"], F.col("n_words")) >= least * F.greatest(other["n_words"], F.col("n_words"))
-        return bucketed.where((F.col("tid") != other["tid"]) & fits).select(F.least(other["tid"], F.col("tid")).alias("a"), F.greatest(other["tid"], F.col("tid")).alias("b"))
-
-    tried = materialise(pair("lo").unionByName(pair("hi")).distinct(), "nd-pairs")
-    links = materialise(_verified(tried, texts, least), "nd-links")
-    groups = connected_components(links, "a", "b", "nd")
-    # three members are all compared by now; of larger buckets those that still span components are open
-    large = bucketed.where("n > 3").select("key", "tid", "n_words", "n")
-    large = large.join(groups.withColumnRenamed("node", "tid"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-    large = materialise(large, "nd-large")
-    spans = materialise(large.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "nd-spans")
-    opened = materialise(large.join(spans, "key"), "nd-open")
-    release(ids, bucketed, large, spans, links)
+    link(untried(bucketed, "lo", "hi"))
+    # three members are all compared by now
+    large = materialise(placed(bucketed.where("n > 3").select("key", "tid", "n_words", "n")), "nd-large")
+    wide = materialise(large.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "nd-spans")
+    opened = materialise(large.join(wide, "key"), "nd-open")
+    release(bucketed, large, wide)
     if not opened.isEmpty():
-        rest = materialise(_untried(opened, texts, least).join(tried, ["a", "b"], "left_anti"), "nd-rest")
-        more = materialise(_verified(rest, texts, least), "nd-more")
-        if not more.isEmpty():
-            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b", "nd")
-        release(rest, more)
-    release(tried, texts, opened)
+        rest = _untried(opened, docs, least)
+        link(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    release(opened)
+    if groups is None:
+        groups = words.select(F.col("tid").alias("node"), F.col("tid").alias("component")).limit(0)
     named = materialise(unique.select("tid", "rep").join(groups.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "rep", F.coalesce("component", "tid").alias("component")), "nd-named")
     least_of = materialise(named.groupBy("component").agg(F.min("rep").alias("first")), "nd-first")
     names = materialise(named.join(least_of, "component").select("tid", "first"), "nd-names")

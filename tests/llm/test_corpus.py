@@ -291,6 +291,21 @@ def test_near_duplicates_of_drifting_chains(spark, docs, monkeypatch, block):
     assert got == {k: find(k) for k in ids}
 
 
+def test_near_duplicates_try_few_pairs_of_a_large_group(spark, docs, monkeypatch):
+    tried = []
+
+    def record(pairs, texts, least, real=neardup._verified):
+        tried.append(pairs.count())
+        return real(pairs, texts, least)
+
+    monkeypatch.setattr(neardup, "_verified", record)
+    rng = random.Random(8)
+    base = prose(200, rng)
+    rows = [(i, edited(" ".join(base.split()[i % 5 :]), 40 + i % 30, rng)) for i in range(250)]
+    assert set(classes(docs(rows)).values()) == {0}
+    assert sum(tried) < 5 * len(rows)
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     got = neardup.near_duplicates(docs(ODD)).collect()
     assert len(got) == len(ODD)
