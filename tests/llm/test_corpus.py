@@ -491,6 +491,25 @@ def test_lines_of_repeated_rows_and_ids(spark, docs):
     assert len(got) == 4 and {r["doc_id"] for r in got} == {None, "id-5"}
 
 
+def test_lines_of_a_large_group_meet_few_of_it(spark, docs, monkeypatch):
+    written = collections.Counter()
+
+    def record(df, name, real=lines.materialise):
+        out = real(df, name)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialise", record)
+    monkeypatch.setattr(lines, "LEADERS", 1)
+    rng = random.Random(7)
+    base = [f"c{i}" for i in range(40)]
+    # every line has two to four words of its own, the rarest of all, so the leaders explain only a part of the group
+    rows = [(i, " ".join(w if k not in gone else f"u{i}x{k}" for k, w in enumerate(base))) for i in range(300) for gone in [rng.sample(range(40), 2 + i % 3)]]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got == dict(zip([k for k, _ in rows], cleaned(rows), strict=True))
+    assert written["line-pairs"] < 10 * len(rows)
+
+
 def test_rarity_table_stays_small_on_the_driver(spark, docs):
     df = docs([(i, " ".join(f"v{i}x{j}" for j in range(10_000))) for i in range(30)])
     tracemalloc.start()
