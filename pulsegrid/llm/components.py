@@ -1,4 +1,4 @@
-"""Connected components of a link table, entirely on the cluster.
+"""Connected components of a link table, on the cluster unless the caller lets the driver join a few links.
 
 Alternating large-star and small-star rounds: every node points its larger (then
 smaller-or-equal) neighbours at the least node it knows. The number of rounds is
@@ -9,6 +9,7 @@ before it is joined back, so that adaptive execution can split the hub's rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,30 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(links: DataFrame, left: str, right: str, name: str = "cc") -> DataFrame:
+def _on_driver(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges(u, v), by union and find."""
+    found = edges.toArrow()
+    parent: dict = {}
+
+    def find(k):
+        while parent.setdefault(k, k) != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for u, v in zip(found.column("u").to_pylist(), found.column("v").to_pylist(), strict=True):
+        low, high = sorted((find(u), find(v)))
+        parent[high] = low
+    nodes, kind = list(parent), found.schema.field("u").type
+    rows = pa.table({"node": pa.array(nodes, kind), "component": pa.array(map(find, nodes), kind)})
+    return edges.sparkSession.createDataFrame(rows, edges.select(F.col("u").alias("node"), F.col("v").alias("component")).schema)
+
+
+def connected_components(links: DataFrame, left: str, right: str, name: str = "cc", few: int = 0) -> DataFrame:
     """One row (node, component) for every node that occurs in ``links``.
 
     ``component`` is the least node reachable. Self-links and null ends are ignored;
-    an empty link table gives an empty result. Repeated links are harmless.
+    an empty link table gives an empty result. Repeated links are harmless. Up to ``few`` links
+    are joined by the driver in one step; nodes are then numbers or bytes.
     """
     edges = (
         links.select(F.col(left).alias("a"), F.col(right).alias("b"))
@@ -33,6 +53,10 @@ def connected_components(links: DataFrame, left: str, right: str, name: str = "c
         .distinct()
     )
     edges = materialise(edges, f"{name}-edges")
+    if few and edges.count() <= few:
+        groups = materialise(_on_driver(edges), f"{name}-groups")
+        release(edges)
+        return groups
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -11,8 +11,8 @@ keys by an exact prefix filter on their words. The first ``ROUNDS`` sketches are
 meets one end of its bucket, which settles most of a large group with a pair or two a text. Then in each bucket that
 spans components every text is compared with the bucket's least and greatest member, if in another component.
 Then every pair of a bucket's members that are not in one component by now and were
-not tried is a candidate too, unless counts of hashed words prove it below the
-threshold. Links are not transitive, so no member leaves a bucket before that.
+not tried is a candidate too, unless their words, told apart by 16 bits of their hashes, prove it
+below the threshold. Links are not transitive, so no member leaves a bucket before that.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ BROADCAST_IDS = 400_000
 #: Sketches that are tried alone before all buckets; they only save pairs.
 ROUNDS = 2
 _CHUNK = 2 << 20
-#: Members of a bucket that meet in one group, and hash bins of the word counts.
+#: Links are joined by the driver up to this many (12 bytes an end), else on the cluster.
+DRIVER_LINKS = 100_000
+#: Members of a bucket that meet in one group, and hash bins of the word counts that are compared first.
 BLOCK = 256
 BINS = 64
 
@@ -88,6 +90,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(values, first) * _powers.down[first]), counts
 
 
+def _occurrences(h: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """The rank of each hash among the equal ones of its text."""
+    own = _mix(h + text_of.astype(np.uint64) * _R)
+    order = np.argsort(own, kind="stable")
+    run = np.concatenate(([True], own[order][1:] != own[order][:-1]))
+    run_start = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
+    label = np.empty(len(order), dtype=np.uint64)
+    label[order] = (np.arange(len(order)) - run_start).astype(np.uint64)
+    return label
+
+
+def bags(texts: list[bytes]) -> list[np.ndarray]:
+    """Per text 16 bits for each word, told apart from its equals by its occurrence."""
+    words, counts = word_hashes(texts)
+    if not len(words):
+        return [np.zeros(0, dtype="<u2") for _ in texts]
+    label = _occurrences(words, np.repeat(np.arange(len(texts)), counts))
+    bins = (_mix(words + label * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype("<u2")
+    return np.split(bins, np.cumsum(counts)[:-1])
+
+
 def sketch(texts: list[bytes], sketches: int = SKETCHES, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(texts x sketches array of keys, number of words); rows of texts without a word mean nothing."""
     words, counts = word_hashes(texts)
@@ -106,14 +129,7 @@ def sketch(texts: list[bytes], sketches: int = SKETCHES, shingle: int = SHINGLE)
     for j in range(shingle):
         h = (h + np.where(at + j < end, padded[at + j], np.uint64(j + 1))) * _R
     h = _mix(h)
-    # occurrence labels: the rank of a shingle among the equal ones of its text
-    own = _mix(h + text_of.astype(np.uint64) * _R)
-    order = np.argsort(own, kind="stable")
-    run = np.concatenate(([True], own[order][1:] != own[order][:-1]))
-    run_start = np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
-    label = np.empty(len(order), dtype=np.uint64)
-    label[order] = (np.arange(len(order)) - run_start).astype(np.uint64)
-    h = _mix(h + label * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = _mix(h + _occurrences(h, text_of) * np.uint64(0xC2B2AE3D27D4EB4F))
     top, place = np.uint64(2**64 - 1), np.arange(len(h))
     for j in range(sketches):
         v = _mix(h ^ _mix(np.uint64([j + 1]))[0])
@@ -235,18 +251,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _histograms(texts: DataFrame) -> DataFrame:
-    """tid, histogram: how many words of the text fall to each of ``BINS`` hash bins."""
+def _bagged(texts: DataFrame) -> DataFrame:
+    """tid, bag: two bytes for each word of the text."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words, _ = word_hashes([(text or "").encode("utf-8", "surrogatepass")])
-                out.append(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.binary())], names=["tid", "histogram"])
+            out = [bags([(text or "").encode("utf-8", "surrogatepass")])[0].tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.binary())], names=["tid", "bag"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid binary, histogram binary")
+    return texts.select("tid", "text").mapInArrow(run, "tid binary, bag binary")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,33 +274,40 @@ def _untried(opened: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     opened(key, tid, n_words, n, component). A bucket is dealt to blocks of about ``BLOCK``
     members and each pair of blocks is one group, so no task holds a bucket whole. Two texts match
-    at most as many words as their histograms share, so pairs below the need are no loss.
+    at most as many words as their bags share, so pairs below the need are no loss. Of the buckets
+    that two texts share only that of the least key compares them, so each pair is found once.
     """
-    histograms = materialise(_histograms(_texts(docs, opened.select("tid"))), "nd-histograms")
+    shared = materialise(opened.groupBy("tid").agg(F.collect_set("key").alias("keys")), "nd-shared")
+    bagged = materialise(_bagged(_texts(docs, shared.select("tid"))).join(shared, "tid"), "nd-bags")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = opened.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "n_words", "component")
-    cells = materialise(dealt.join(histograms, "tid"), "nd-cells")
-    release(histograms)
+    cells = materialise(dealt.join(bagged, "tid"), "nd-cells")
+    release(shared, bagged)
 
     def meet(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by("n_words").combine_chunks()
+        cell = cell.sort_by([("n_words", "ascending"), ("tid", "ascending")]).combine_chunks()
         tid, words, block = cell.column("tid").to_pylist(), cell.column("n_words").to_numpy(), cell.column("block").to_numpy()
         component = np.unique(np.array(cell.column("component").to_pylist(), dtype=object), return_inverse=True)[1].ravel()
-        counts = np.frombuffer(b"".join(cell.column("histogram").to_pylist()), dtype="<i4").reshape(-1, BINS)
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        found = []
+        bag = [np.frombuffer(b, dtype="<u2") for b in cell.column("bag").to_pylist()]
+        counts = np.stack([np.bincount(b % BINS, minlength=BINS) for b in bag]).astype(np.int32)
+        keys = [set(k) for k in cell.column("keys").to_pylist()]
+        key, i, j = (cell.column(c)[0].as_py() for c in ("key", "i", "j"))
+        found, mine, need = [], np.zeros(1 << 16, dtype=bool), np.ceil(least * words - 1e-9)
         # in order of length each text meets the longer ones that its words can cover
         for x in range(len(tid)):
             longest = int(np.searchsorted(words, int(words[x] / least + 1e-9), side="right"))
             y = np.arange(x + 1, longest)
             y = y[(component[y] != component[x]) & (block[y] != block[x] if i != j else True)]
             if len(y):
-                y = y[np.minimum(counts[x], counts[y]).sum(axis=1) >= np.ceil(least * words[y] - 1e-9)]
-                found += [(min(tid[x], tid[k]), max(tid[x], tid[k])) for k in y.tolist()]
+                y = y[np.minimum(counts[x], counts[y]).sum(axis=1) >= need[y]]
+                mine[bag[x]] = True
+                near = [k for k in y.tolist() if min(keys[x] & keys[k]) == key and np.count_nonzero(mine[bag[k]]) >= need[k]]
+                mine[bag[x]] = False
+                found += [(min(tid[x], tid[k]), max(tid[x], tid[k])) for k in near]
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -335,7 +355,7 @@ def _grouped(docs: DataFrame, sketches: int = SKETCHES, shingle: int = SHINGLE,
         links = materialise(_verified(pairs, texts, least), "nd-links")
         if not links.isEmpty():
             known = links if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-            groups = connected_components(known, "a", "b", "nd")
+            groups = connected_components(known, "a", "b", "nd", DRIVER_LINKS)
         tried = pairs if tried is None else tried.unionByName(pairs)
         release(texts, links)
 

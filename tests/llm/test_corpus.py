@@ -73,6 +73,15 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_few_links_on_the_driver(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(7, 7), (None, 3)]
+    links = spark.createDataFrame(edges, "a long, b long").select(*[F.encode(F.lpad(c, 4, "0"), "UTF-8").alias(c) for c in "ab"])
+    found = [sorted(map(tuple, components.connected_components(links, "a", "b", "t", few).collect())) for few in (0, 1, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+    assert components.connected_components(links.limit(0), "a", "b", "t", 1000).count() == 0
+
+
 # -- embeddings -------------------------------------------------------------
 def brute_links(rows, cosine):
     import numpy as np
@@ -306,6 +315,37 @@ def test_near_duplicates_try_few_pairs_of_a_large_group(spark, docs, monkeypatch
     assert sum(tried) < 5 * len(rows)
 
 
+def test_near_duplicates_disprove_pairs_by_their_words(spark, docs, monkeypatch):
+    tried = []
+
+    def record(opened, documents, least, real=neardup._untried):
+        found = real(opened, documents, least)
+        tried.append((opened.count(), found.count()))
+        assert found.distinct().count() == found.count()
+        return real(opened, documents, least)
+
+    monkeypatch.setattr(neardup, "_untried", record)
+    rng = random.Random(5)
+    common = prose(300, rng)
+    rows = [(i, common + " " + " ".join(f"t{rng.randrange(10**9)}" for _ in range(100))) for i in range(120)]
+    rows += [(200 + i, edited(rows[i][1], 40, rng)) for i in range(3)]
+    assert classes(docs(rows)) == {k: k % 200 for k, _ in rows}
+    # all meet in the buckets of what they have in common, but only the three copies share 0.8 of their words
+    [(members, pairs)] = tried
+    assert members > 1000 and pairs < 10
+
+
+def test_bags_bound_the_alignment():
+    rng = random.Random(6)
+    for _ in range(200):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))]
+        b = [w for w in a if rng.random() < 0.9] + ["x"] * rng.randrange(4) or ["y"]
+        x, y = neardup.bags([" ".join(a).encode(), " ".join(b).encode()])
+        assert (len(x), len(y)) == (len(a), len(b))
+        assert np.isin(y, x).sum() >= (collections.Counter(a) & collections.Counter(b)).total() >= neardup.aligned_words(a, b, 0)
+    assert [len(x) for x in neardup.bags([b"", b" a a ", b""])] == [0, 2, 0]
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     got = neardup.near_duplicates(docs(ODD)).collect()
     assert len(got) == len(ODD)
