@@ -550,6 +550,55 @@ def test_lines_of_a_large_group_meet_few_of_it(spark, docs, monkeypatch):
     assert written["line-pairs"] < 10 * len(rows)
 
 
+def recorded(monkeypatch):
+    """Rows written so far, by name, and how often each name was written."""
+    rows, times = collections.Counter(), collections.Counter()
+
+    def record(df, name, real=lines.materialise):
+        out = real(df, name)
+        rows[name] += out.count()
+        times[name] += 1
+        return out
+
+    monkeypatch.setattr(lines, "materialise", record)
+    return rows, times
+
+
+def test_lines_of_hot_words_meet_a_bounded_table(spark, docs, monkeypatch):
+    rows, _ = recorded(monkeypatch)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 64)
+    monkeypatch.setattr(lines, "LEADERS", 1)
+    rng = random.Random(11)
+    base = [f"c{i}" for i in range(40)]
+    texts = [(i, " ".join(w if k not in gone else f"u{i}x{k}" for k, w in enumerate(base))) for i in range(200) for gone in [rng.sample(range(40), 2 + i % 3)]]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(texts)).collect()}
+    assert got == dict(zip([k for k, _ in texts], cleaned(texts), strict=True))
+    assert 0 < rows["line-slots"] <= 64
+
+
+def test_few_pairs_of_lines_are_verified_in_few_passes(spark, docs, monkeypatch):
+    _, times = recorded(monkeypatch)
+    rng = random.Random(12)
+    pool = [[f"w{rng.randrange(900)}" for _ in range(20)] for _ in range(400)]
+    texts = [(i, " ".join(w if rng.random() > 0.06 else f"e{i}" for w in pool[i % 400])) for i in range(600)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(texts)).collect()}
+    assert got == dict(zip([k for k, _ in texts], cleaned(texts), strict=True))
+    assert times["line-words"] <= 3  # a pass over the documents each
+
+
+def test_lines_do_not_depend_on_the_rarity_table(spark, docs, monkeypatch):
+    counted = []
+    real = lines.rarity_levels
+    monkeypatch.setattr(lines, "RARITY_ROWS", 5)
+    monkeypatch.setattr(lines, "rarity_levels", lambda d: counted.append(real(d)) or counted[-1])
+    rng = random.Random(13)
+    pool = [[f"w{rng.randrange(300)}" for _ in range(15)] for _ in range(20)]
+    texts = [(i, " ".join(w if rng.random() > 0.05 else f"e{i}" for w in rng.choice(pool))) for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(texts)).collect()}
+    assert got == dict(zip([k for k, _ in texts], cleaned(texts), strict=True))
+    assert (counted[0] > 0).sum() < 200  # of about 500 words
+
+
 def test_rarity_table_stays_small_on_the_driver(spark, docs):
     df = docs([(i, " ".join(f"v{i}x{j}" for j in range(10_000))) for i in range(30)])
     tracemalloc.start()
