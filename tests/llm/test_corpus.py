@@ -599,6 +599,26 @@ def test_lines_do_not_depend_on_the_rarity_table(spark, docs, monkeypatch):
     assert (counted[0] > 0).sum() < 200  # of about 500 words
 
 
+def test_lines_of_small_groups_are_moved_once(spark, docs, monkeypatch):
+    rows, times = recorded(monkeypatch)
+    monkeypatch.setattr(lines, "SAMPLE_ROWS", 1)
+    rng = random.Random(14)
+    pool = [[f"w{rng.randrange(2000)}" for _ in range(20)] for _ in range(120)]
+    texts = [(i, " ".join([*pool[i % 120][:-1], f"e{i}"])) for i in range(240)]
+    # stored from the last to the first: the earlier line of a pair is not the one that is read first
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(texts[::-1])).collect()}
+    assert got == dict(zip([k for k, _ in texts], cleaned(texts), strict=True))
+    assert times["line-classes"] + times["line-reps"] == 1 and rows["line-reps"] == 240
+    assert rows["line-members"] < 120  # pairs of near copies need no leaders
+    # a large group still has them
+    base = [f"c{i}" for i in range(40)]
+    texts = [(i, " ".join(w if k not in gone else f"u{i}x{k}" for k, w in enumerate(base))) for i in range(200) for gone in [rng.sample(range(40), 2 + i % 3)]]
+    rows.clear()
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(texts[::-1])).collect()}
+    assert got == dict(zip([k for k, _ in texts], cleaned(texts), strict=True))
+    assert rows["line-members"] > 200 and rows["line-pairs"] < 10 * len(texts)
+
+
 def test_rarity_table_stays_small_on_the_driver(spark, docs):
     df = docs([(i, " ".join(f"v{i}x{j}" for j in range(10_000))) for i in range(30)])
     tracemalloc.start()
