@@ -32,6 +32,12 @@ def latest_history(history: DataFrame) -> DataFrame:
     return history.groupBy("patient_id", "field").agg(F.max_by("value", F.struct("time_n", "id")).alias("value"), F.max("time_n").alias("time_n"))
 
 
+def partition_totals(durations: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """part, duration_ns (decimal: nanoseconds of many sources are beyond a BIGINT), n_sources of each partition."""
+    total = F.sum(F.col("duration_ns").cast("decimal(19,0)")).cast("decimal(38,0)")
+    return durations.join(parts, key).groupBy("part").agg(total.alias("duration_ns"), F.count_distinct(key).alias("n_sources"))
+
+
 def ratio_error(shares: DataFrame, by: str, metrics: list[str], targets: dict[str, float]) -> DataFrame:
     """Mean over the metrics of the root mean square distance of each partition's share to its target."""
     totals = shares.agg(*[F.sum(m).alias(m) for m in metrics])

@@ -511,16 +511,22 @@ def _parts(c):
 
 @query(_with("samples", f"+ {_PART} select part, sum(d)::bigint as duration_ns, count(distinct device_id) as n_sources from p group by 1"))
 def partition_durations(c):
-    return iv.duration(_by_measure(c, 5), ["device_id"]).join(_parts(c), "device_id").groupBy("part").agg(F.sum("duration_ns").alias("duration_ns"), F.count_distinct("device_id").alias("n_sources"))
+    """A row a part. BIGINT as in the SQL where it has a result; its cast raises beyond, and there the exact total is a decimal."""
+    t = partition_durations_of(c)
+    rows = t.collect()  # one row a part
+    kind = "long" if all(r["duration_ns"] < 2**63 for r in rows) else "decimal(38,0)"
+    made = [(r["part"], int(r["duration_ns"]) if kind == "long" else r["duration_ns"], r["n_sources"]) for r in rows]
+    return c.spark.createDataFrame(made, f"part int, duration_ns {kind}, n_sources long")
 
 
 @query(_with("samples", f"+ {_PART}, t as (select part, sum(d) as a, count(*) as b from p group by 1), s as (select a / sum(a) over () - w as ea, b / sum(b) over () - w as eb from t join (values (0, 0.7), (1, 0.2), (2, 0.1)) v(part, w) using (part)) select round((sqrt(avg(ea * ea)) + sqrt(avg(eb * eb))) / 2, 9) as error from s"))
 def partition_error(c):
-    return aggregates.ratio_error(partition_durations_of(c), "part", ["duration_ns", "n_sources"], {0: 0.7, 1: 0.2, 2: 0.1}).select(F.round("error", 9).alias("error"))
+    t = partition_durations_of(c).withColumns({m: F.col(m).cast("double") for m in ("duration_ns", "n_sources")})
+    return aggregates.ratio_error(t, "part", ["duration_ns", "n_sources"], {0: 0.7, 1: 0.2, 2: 0.1}).select(F.round("error", 9).alias("error"))
 
 
 def partition_durations_of(c):
-    return iv.duration(_by_measure(c, 5), ["device_id"]).join(_parts(c), "device_id").groupBy("part").agg(F.sum("duration_ns").cast("double").alias("duration_ns"), F.count_distinct("device_id").cast("double").alias("n_sources"))
+    return aggregates.partition_totals(iv.duration(_by_measure(c, 5), ["device_id"]), _parts(c), "device_id")
 
 
 @query(
