@@ -27,9 +27,9 @@ def entropy(samples: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return h.groupBy(*keys).agg((F.log2(n) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / n).alias("entropy"), F.count("*").alias("n_distinct"))
 
 
-def latest_history(history: DataFrame) -> DataFrame:
-    """patient_id, field, value, time_n of the newest row of each field."""
-    return history.groupBy("patient_id", "field").agg(F.max_by("value", F.struct("time_n", "id")).alias("value"), F.max("time_n").alias("time_n"))
+def latest_history(history: DataFrame, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """patient_id, field, value, time_n of the newest row of each field; of several the one with the greatest ``ties``."""
+    return history.groupBy("patient_id", "field").agg(F.max_by("value", F.struct("time_n", *ties)).alias("value"), F.max("time_n").alias("time_n"))
 
 
 def partition_totals(durations: DataFrame, parts: DataFrame, key: str) -> DataFrame:

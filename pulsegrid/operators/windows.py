@@ -101,10 +101,10 @@ def label_windows(windows: DataFrame, labels: DataFrame, keys: list[str], durati
     return points.withColumn("label", F.when(F.col("share") > limit, 1).otherwise(0))
 
 
-def with_patient_values(windows: DataFrame, history: DataFrame, field: str) -> DataFrame:
-    """The newest value of ``field`` at each window's start."""
-    rows = history.where(F.col("field") == field).select("patient_id", F.col("time_n").alias("__at"), F.col("value").alias(field), "id")
-    return joins.as_of(windows, rows, ["patient_id"], "window_start_n", "__at", [field], ["id"])
+def with_patient_values(windows: DataFrame, history: DataFrame, field: str, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The newest value of ``field`` at each window's start; of several the one with the greatest ``ties``."""
+    rows = history.where(F.col("field") == field).select("patient_id", F.col("time_n").alias("__at"), F.col("value").alias(field), *[F.col(t).alias(f"__{t}") for t in ties])
+    return joins.as_of(windows, rows, ["patient_id"], "window_start_n", "__at", [field], [f"__{t}" for t in ties])
 
 
 def shuffled(windows: DataFrame, keys: list[str], seed: int) -> DataFrame:

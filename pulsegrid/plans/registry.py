@@ -315,13 +315,13 @@ def sample_patients(c):
 @query(_with("history encounters", "select e.id, h.value from (select id, patient_id, start_n from encounters) e asof left join (select patient_id, time_n, arg_max(value, id) as value from history where field = 'N' group by 1, 2) h on e.patient_id = h.patient_id and e.start_n >= h.time_n"))
 def asof_history(c):
     e = c.encounters.select("id", "patient_id", "start_n")
-    h = c.history.where("field = 'N'").withColumnRenamed("id", "hid")
-    return joins.as_of(e, h, ["patient_id"], "start_n", "time_n", ["value"], ["hid"]).select("id", "value")
+    h = c.placed_history.where("field = 'N'").withColumnRenamed("id", "hid")
+    return joins.as_of(e, h, ["patient_id"], "start_n", "time_n", ["value"], ["hid", "earlier"]).select("id", "value")
 
 
 @query(_with("history", "select patient_id, field, arg_max(value, (time_n, id)) as value, max(time_n) as time_n from history group by 1, 2"))
 def latest_history(c):
-    return aggregates.latest_history(c.history)
+    return aggregates.latest_history(c.placed_history, ("id", "earlier"))
 
 
 _E0 = 800_000_000_000_000_000
@@ -463,7 +463,7 @@ def window_light_index(c):
 @query(_with("encounters history", f"+ w as (select id, patient_id, start_n + {DAY_NS} as window_start_n from encounters) select w.id as win, w.patient_id, window_start_n, h.value as \"R\" from w asof left join (select patient_id, time_n, arg_max(value, id) as value from history where field = 'R' group by 1, 2) h on w.patient_id = h.patient_id and w.window_start_n >= h.time_n"))
 def window_patient_asof(c):
     w = c.encounters.select(F.col("id").alias("win"), "patient_id", (F.col("start_n") + DAY_NS).alias("window_start_n"))
-    return windows.with_patient_values(w, c.history, "R")
+    return windows.with_patient_values(w, c.placed_history, "R", ("id", "earlier"))
 
 
 @query(_with("labels", f"+ {_WIN}, {islands('lb', 'device_id', 0, 'lu').replace('from lb', f'from (select device_id, start_n, end_n + 1 as end_n from labels_t) lb')}, gp as (select device_id, window_start_n, unnest(range(6)) * {HOUR_NS} + window_start_n as t from w), r as (select gp.device_id, window_start_n, t, max((l.start_n is not null)::int) as o from gp left join labels_t l on l.device_id = gp.device_id and l.start_n <= t and t <= l.end_n group by 1, 2, 3) select device_id, window_start_n, round(avg(o), 6) as share, (avg(o) > 0.3)::int as label from r group by 1, 2 having max(o) = 1"))
