@@ -10,9 +10,11 @@ files that travel as bytes. ``encode_frame`` and ``decode_frame`` run it over ro
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,33 +179,85 @@ def coalesce_reads(blocks: DataFrame, keys: list[str]) -> DataFrame:
 BLOCK_ROW = "n long, start_n long, end_n long, v_min double, v_max double, block binary"
 
 
+def _changes(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the members of two columns differ; nulls are equal."""
+    other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return other.to_numpy(zero_copy_only=False)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, starts): whole runs of equal keys, of rows in the order of the keys, and the first row of each.
+
+    Several runs come at a time; what is held is a batch and the run that is still open.
+    """
+    held: list[pa.RecordBatch] = []
+    starts = [0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            c = batch.column(k)
+            new[1:] |= _changes(c.slice(1), c.slice(0, len(c) - 1))
+            if held:
+                new[0] |= _changes(c.slice(0, 1), held[-1].column(k).slice(held[-1].num_rows - 1))[0]
+        cuts, before = np.flatnonzero(new), sum(b.num_rows for b in held)
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]), np.array([*starts, *(cuts[:-1] + before)])
+            held = []
+            batch = batch.slice(cuts[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held), np.array(starts)
+
+
 def encode_frame(samples: DataFrame, keys: list[str], period_ns: int, chunk_ns: int) -> DataFrame:
     """keys, chunk, n, start_n, end_n, v_min, v_max, block: a block per signal and stretch of time.
 
     A stretch bounds what one task holds of a signal; samples of equal time keep the order of value.
+    Stretches are sorted by Spark and come to Python many at a time.
     """
-    key_kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    parted = [*keys, "chunk"]
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     rows = samples.select(*keys, F.floor(F.col("time_n") / chunk_ns).cast("long").alias("chunk"), "time_n", F.col("value").cast("double").alias("value"))
+    rows = rows.repartition(*parted).sortWithinPartitions(*parted, "time_n", F.asc_nulls_last("value"))
+
+    def build(batches):
+        for table, starts in runs(batches, parted):
+            times, values = (table.column(c).to_numpy() for c in ("time_n", "value"))
+            blocks = [encode(times[a:b], values[a:b], period_ns) for a, b in zip(starts, [*starts[1:], len(times)], strict=True)]
+            found = [header(b) for b in blocks]
+            same = [table.column(k).combine_chunks().take(pa.array(starts)) for k in parted]
+            told = [pa.array([h[k] for h in found], kind) for k, kind in (("n", pa.int64()), ("start_n", pa.int64()), ("end_n", pa.int64()), ("v_min", pa.float64()), ("v_max", pa.float64()))]
+            yield from _batches([*same, *told, pa.array(blocks, pa.binary())], [*parted, "n", "start_n", "end_n", "v_min", "v_max", "block"])
+
+    return rows.mapInArrow(build, f"{kinds}, chunk long, {BLOCK_ROW}")
 
-    def build(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("time_n", "ascending"), ("value", "ascending")])
-        block = encode(group.column("time_n").to_numpy(), group.column("value").to_numpy(), period_ns)
-        h = header(block)
-        first = {k: group.column(k)[0].as_py() for k in [*keys, "chunk"]}
-        return pa.Table.from_pylist([{**first, **{k: h[k] for k in ("n", "start_n", "end_n", "v_min", "v_max")}, "block": block}])
 
-    return rows.groupBy(*keys, "chunk").applyInArrow(build, f"{key_kinds}, chunk long, {BLOCK_ROW}")
+def _batches(columns: list, names: list[str]) -> list[pa.RecordBatch]:
+    return pa.Table.from_arrays(columns, names=names).to_batches()
 
 
-def decode_frame(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, time_n, value: the samples of encoded blocks."""
-    key_kinds = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+def decode_frame(blocks: DataFrame, keys: list[str], rows: int = 65_536) -> DataFrame:
+    """keys, time_n, value: the samples of encoded blocks, given on when ``rows`` of them have come together."""
+    kinds = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+
+    def packed(batch, first, parts):
+        counts = [len(t) for t, _ in parts]
+        at = pa.array(np.repeat(np.arange(first, first + len(parts)), counts))
+        times, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return _batches([*[batch.column(k).take(at) for k in keys], pa.array(times, pa.int64()), pa.array(values, pa.float64())], [*keys, "time_n", "value"])
 
     def read(batches):
         for batch in batches:
-            for k, block in enumerate(batch.column("block").to_pylist()):
-                times, values = decode_all(block)
-                same = [pa.repeat(batch.column(c)[k], len(times)) for c in keys]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(times, pa.int64()), pa.array(values, pa.float64())], names=[*keys, "time_n", "value"])
-
-    return blocks.select(*keys, "block").mapInArrow(read, f"{key_kinds}, time_n long, value double")
+            first, parts, held = 0, [], 0
+            for block in batch.column("block"):
+                parts.append(decode_all(block.as_py()))
+                held += len(parts[-1][0])
+                if held >= rows:
+                    yield from packed(batch, first, parts)
+                    first, parts, held = first + len(parts), [], 0
+            if parts:
+                yield from packed(batch, first, parts)
+
+    return blocks.select(*keys, "block").mapInArrow(read, f"{kinds}, time_n long, value double")
