@@ -37,6 +37,15 @@ def point_join(points: DataFrame, b: DataFrame, keys: list[str], width_ns: int =
     return x.join(y, [*keys, "__k"]).where("start_n <= time_n and time_n < end_n").drop("__k")
 
 
+def point_held(points: DataFrame, b: DataFrame, keys: list[str], width_ns: int = 7 * DAY_NS) -> DataFrame:
+    """Each row of ``points(time_n)`` once with __held: whether an interval of b holds it; those of a key lie apart."""
+    y = _bucketed(b, "start_n", "end_n", width_ns, "__k").select(*keys, "__k", F.col("start_n").alias("__s"), F.col("end_n").alias("__e"))
+    x = points.withColumn("__k", floor_div(F.col("time_n"), width_ns))
+    same = [x[k] == y[k] for k in [*keys, "__k"]]
+    hit = x.join(y, [*same, x["time_n"] >= y["__s"], x["time_n"] < y["__e"]], "left")
+    return hit.select(*[x[c] for c in points.columns], y["__s"].isNotNull().alias("__held"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], ties: list[str] = ()) -> DataFrame:
     """Each left row with the newest right row at or before it (null values if none).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.units import ceil_div, floor_div
 from . import intervals as iv
 from . import joins
 
@@ -71,8 +72,43 @@ def with_patient(labels: DataFrame, mapping: DataFrame, now_n: int) -> DataFrame
 def raster(grid: DataFrame, labels: DataFrame, keys: list[str], width_ns: int = iv.DAY_NS) -> DataFrame:
     """grid(keys, time_n) -> plus on: 1 where a label holds the time, both ends inclusive."""
     wide = labels.select(*keys, "start_n", (F.col("end_n") + 1).alias("end_n"))
-    hit = joins.point_join(grid.select(*keys, "time_n").distinct(), iv.union(wide, keys), keys, width_ns).select(*keys, "time_n").distinct().withColumn("__on", F.lit(1))
-    return grid.join(hit, [*keys, "time_n"], "left").withColumn("on", F.coalesce("__on", F.lit(0))).drop("__on")
+    return joins.point_held(grid, iv.union(wide, keys), keys, width_ns).withColumn("on", F.col("__held").cast("int")).drop("__held")
+
+
+def _flags(sources: DataFrame, labels: DataFrame, keys: list[str], start_n: int, end_n: int, period_ns: int) -> DataFrame:
+    """keys, __f: a row a source with its raster on the regular grid in [start_n, end_n) as an array of 0 and 1.
+
+    The grid points that a label holds come from arithmetic on its ends; each source's are an array of the
+    grid's length at most.
+    """
+    n = ceil_div(F.lit(end_n) - start_n, period_ns)
+    first = F.greatest(F.lit(0).cast("long"), ceil_div(F.col("start_n") - start_n, period_ns))
+    last = F.least(n - 1, floor_div(F.col("end_n") - start_n, period_ns))
+    marks = labels.where("start_n <= end_n").select(*keys, first.alias("__a"), last.alias("__b")).where("__a <= __b").distinct()
+    points = marks.select(*keys, F.explode(F.sequence("__a", "__b")).alias("__p"))
+    held = points.groupBy(*keys).agg(F.collect_set("__p").alias("__on"))
+    rows = sources.join(held, keys, "left").withColumn("__on", F.sort_array("__on"))
+    flags = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda p: F.coalesce(F.array_contains("__on", p), F.lit(False)).cast("int"))
+    return rows.select(*keys, flags.alias("__f"))
+
+
+def raster_of(sources: DataFrame, labels: DataFrame, keys: list[str], start_n: int, end_n: int, period_ns: int) -> DataFrame:
+    """raster() of a regular grid in [start_n, end_n), the same for each of ``sources(keys)``: keys, time_n, on.
+
+    The grid is unfolded last and is neither sorted nor exchanged.
+    """
+    rows = _flags(sources, labels, keys, start_n, end_n, period_ns)
+    return rows.select(*keys, F.posexplode("__f").alias("__p", "on")).select(*keys, (F.lit(start_n) + F.col("__p").cast("long") * period_ns).alias("time_n"), "on")
+
+
+def threshold_of(sources: DataFrame, labels: DataFrame, keys: list[str], start_n: int, end_n: int, period_ns: int, points: int, limit: float = 0.5) -> DataFrame:
+    """threshold() of raster_of() in windows of so many grid points: keys, win, share, label, without unfolding the grid."""
+    rows = _flags(sources, labels, keys, start_n, end_n, period_ns)
+    n = F.call_function("div", F.size("__f") + (points - 1), F.lit(points)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda w: F.slice("__f", w * points + 1, points))
+    rows = rows.select(*keys, F.posexplode(parts).alias("win", "__w"))
+    share = F.aggregate("__w", F.lit(0), lambda a, x: a + x) / F.size("__w")
+    return rows.select(*keys, F.col("win").cast("long").alias("win"), share.alias("share")).withColumn("label", F.when(F.col("share") > limit, 1).otherwise(0))
 
 
 def threshold(rasters: DataFrame, keys: list[str], limit: float = 0.5) -> DataFrame:

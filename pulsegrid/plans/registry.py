@@ -394,20 +394,15 @@ _GRID = f"g as (select device_id, unnest(range({A_N}, {B_N}, {HOUR_NS})) as time
 _RASTER = f"{_GRID}, r as (select g.device_id, g.time_n, (count(l.label_id) > 0)::int as \"on\" from g left join labels_t l on l.device_id = g.device_id and l.start_n <= g.time_n and g.time_n <= l.end_n group by 1, 2)"
 
 
-def _raster(c):
-    spine = c.samples.select("device_id").distinct().withColumn("time_n", F.explode(F.sequence(F.lit(A_N), F.lit(B_N - 1), F.lit(HOUR_NS))))
-    return labels.raster(spine, c.labels, ["device_id"])
-
-
 @query(_with("labels", f'+ {_RASTER} select device_id, time_n, "on" from r'))
 def label_raster(c):
-    return _raster(c)
+    return labels.raster_of(c.samples.select("device_id").distinct(), c.labels, ["device_id"], A_N, B_N, HOUR_NS)
 
 
 @query(_with("labels", f'+ {_RASTER} select device_id, (time_n - {A_N}) // {6 * HOUR_NS} as win, round(avg("on"), 6) as share, (avg("on") > 0.3)::int as label from r group by 1, 2'))
 def label_threshold(c):
-    r = _raster(c).withColumn("win", units.floor_div(F.col("time_n") - A_N, 6 * HOUR_NS))
-    return labels.threshold(r, ["device_id", "win"], 0.3).withColumn("share", F.round("share", 6))
+    sources = c.samples.select("device_id").distinct()
+    return labels.threshold_of(sources, c.labels, ["device_id"], A_N, B_N, HOUR_NS, 6, 0.3).withColumn("share", F.round("share", 6))
 
 
 @query(_with("labels", f"+ {islands('labels_t', 'device_id, label_set_id', 24 * HOUR_NS)} select * from isl"))
